@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.audio import op9_telephony
 from quire.llm.langid import op3_language_id
+from quire.llm.packing import op5_packing
 from quire.llm.secrets import op10_secret_scan
+from quire.llm.tokens import op6_token_ids
+from quire.llm.toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_language_id": op3_language_id,
+    "op5_packing": op5_packing,
+    "op6_token_ids": op6_token_ids,
     "op9_telephony": op9_telephony,
     "op10_secret_scan": op10_secret_scan,
 }

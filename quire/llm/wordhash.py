@@ -15,6 +15,8 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
+_SPLIT = _SEP.copy()  # also at every ASCII character that is neither letter nor digit
+_SPLIT[:128] |= [not chr(c).isalnum() for c in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POW = np.ones(64, dtype=np.uint64)
@@ -51,15 +53,18 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text number, first byte and end byte of each word of the array, in order."""
+def words(texts: pa.Array, lower: bool = False, split: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number, first byte and end byte of each word of the array, in order.
+
+    lower: fold A-Z. split: ASCII punctuation also ends words.
+    """
     raw, off = buffer_of(texts)
     none = np.zeros(0, np.int64)
     if not len(raw):
         return np.zeros(0, np.uint64), none, none, none
     if lower:
         raw = _LOWER[raw]
-    solid = ~_SEP[raw]
+    solid = ~(_SPLIT if split else _SEP)[raw]
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
     cut = off[1:-1]
