@@ -93,8 +93,8 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY,
         last = np.array([end_id], dtype="<u4").tobytes()
         for b in by_bytes(batches, "text"):
             ids, rows = b.column(0).to_pylist(), []
-            for doc, text in zip(ids, b.column(1).to_pylist(), strict=True):
-                raw = tok.encode(text) + last
+            for doc, raw in zip(ids, tok.encode_all(b.column(1).to_pylist()), strict=True):
+                raw += last
                 n = len(raw) // 4
                 rows += [(doc, a, k, zlib.crc32(raw[4 * a : 4 * (a + k)]), n) for a, k in cut_document(n, capacity, piece)]
             cols = list(zip(*rows, strict=True)) or [[]] * 5

@@ -7,8 +7,11 @@ indexes, in files that are sorted by document: a reader can skip to some documen
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +24,8 @@ from quire.llm._shared import by_bytes, shared_dir, table
 #: The place of the tokenizer files: None asks the public_tokenizers package.
 TOKENIZER_DIR: str | None = None
 #: Words that one worker remembers; the memory is emptied when full, so it stays bounded.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
+_RARE_SPACE = re.compile(r"[^\S \n]")
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
 #: Documents that one output file holds, about.
 DOCS_PER_FILE = 8_000
@@ -36,12 +40,12 @@ def tokenizer_path(name: str, folder: str | None = TOKENIZER_DIR) -> str:
 
 
 class CachedTokenizer:
-    """encode() of one tokenizer file, word by word with a bounded memory.
+    """encode_all() of one tokenizer file, word by word with a bounded memory.
 
     Both kinds of files cut a text before each single space between other characters, so the ids of
-    such a text are those of its words one after another. Texts with other white space around a space
-    go to the tokenizer whole. Unknown words go to it many at a time, with a mark between that has a
-    token of its own.
+    such a text are those of its words one after another; a single line feed is kept in front of its
+    word. Texts with other white space beside either go to the tokenizer whole. A word of letters,
+    alone or before one ASCII mark, is one piece for the merge table and goes straight to it.
     """
 
     def __init__(self, path: str):
@@ -50,78 +54,91 @@ class CachedTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.model = self.tok.model
         self.spaced = self._ids("a b") != self._ids("a") + self._ids("b")  # a leading space belongs to the word
-        self.mark = None if self.spaced else self._ids("0")[0]
-        self.starts = None
-        if self.spaced:
-            vocab = self.tok.get_vocab()
-            lead = self.tok.id_to_token(self._ids(" a")[0])[0]
-            self.starts = np.zeros(max(vocab.values()) + 1, dtype=bool)
-            self.starts[[i for t, i in vocab.items() if t[0] == lead]] = True
+        # byte-level pieces write byte b as one character: itself if printable, else 256 and on
+        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+        self.byte_chars = {b: 256 + i for i, b in enumerate(odd)}
+        self.marks = {c: self._pack(self._ids("a" + c)[len(self._ids("a")) :]) for c in ".,;:!?)"}
+        self.lead = chr(self.byte_chars[32]) if self.spaced else ""
+        self.feed = self._pack(self._ids("\n")) if self.spaced else b""
         self.memo: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of each word (with its leading space, if the tokenizer has such)."""
-        out: dict[str, bytes] = {}
-        if self.spaced:
-            plain, odd = new, []
-        else:
-            plain, odd = [w for w in new if "0" not in w], [w for w in new if "0" in w]
-        for k in range(0, len(plain), 400):
-            part = plain[k : k + 400]
-            if self.spaced:
-                ids = np.array(self._ids(" " + " ".join(part)), dtype=np.uint32)
-                cut = np.flatnonzero(self.starts[ids])
-                ends = np.append(cut[1:], len(ids))
+    @staticmethod
+    def _pack(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
+
+    def _letters(self, w: str, lead: str) -> bytes:
+        """The ids of a word of letters by the merge table alone; lead: the character of a space before it, or none."""
+        if not w.isascii():
+            if max(w) >= "\u0250":
+                return self._pack(self._ids(" " + w if lead else w))
+            if not self.spaced:
+                w = unicodedata.normalize("NFC", w).lower()
+                if not w.isalpha():
+                    return self._pack(self._ids(w))
+            w = w.encode().decode("latin-1").translate(self.byte_chars)
+        elif not self.spaced:
+            w = w.lower()
+        return array("I", [t.id for t in self.model.tokenize(lead + w)]).tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        """Remember the ids of each word behind a space (or with its own line feed in front)."""
+        memo, marks, lead, letters = self.memo, self.marks, self.lead, self._letters
+        for w in new:
+            if w.isalpha():
+                if w not in memo:
+                    memo[w] = letters(w, lead)
+                continue
+            core = w[:-1]
+            if w[-1:] in marks and core.isalpha():
+                got = memo.get(core)
+                if got is None:
+                    got = memo[core] = letters(core, lead)
+                memo[w] = got + marks[w[-1]]
+            elif w[:1] == "\n":
+                core = w[1:]
+                memo[w] = self.feed + letters(core, "") if core.isalpha() else self._pack(self._ids(w))
             else:
-                ids = np.array(self._ids(" 0 ".join(part) + " 0"), dtype=np.uint32)
-                ends = np.flatnonzero(ids == self.mark)
-                cut = np.append(0, ends[:-1] + 1)
-            if len(cut) != len(part):
-                odd += part
+                memo[w] = self._pack(self._ids(" " + w if self.spaced else w))
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text (null: none) as unsigned 32-bit integers in the machine's order, which is little-endian."""
+        cut: list[list[str] | None] = []
+        words: set[str] = set()
+        for t in texts:
+            if not t or self._uneven(t):
+                cut.append(None)
                 continue
-            raw = ids.astype("<u4").tobytes()
-            out.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, cut.tolist(), ends.tolist(), strict=True))
-        for w in odd:
-            out[w] = np.array(self._ids(" " + w if self.spaced else w), dtype="<u4").tobytes()
-        return out
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self.spaced and self._uneven(text):
-            return np.array(self._ids(text), dtype="<u4").tobytes()
-        parts = text.split(" ")
-        lead = b""
-        if self.spaced:
-            lead = np.array(self._ids(parts[0]), dtype="<u4").tobytes()
-            del parts[0]
-        try:
-            return lead + b"".join(map(self.memo.__getitem__, parts))
-        except KeyError:
-            pass
-        new = list({w for w in parts if w not in self.memo})
+            parts = t.replace("\n", " \n" if self.spaced else " ").split(" ")
+            words.update(parts[1:] if self.spaced else parts)
+            cut.append(parts)
+        new = words.difference(self.memo)
         if len(self.memo) + len(new) > CACHE_WORDS:
             self.memo.clear()
-            new = list(set(parts))
-        if len(new) > CACHE_WORDS:  # a text of its own size: its words are not kept
-            own = self._learn(new)
-            return lead + b"".join(map(own.__getitem__, parts))
-        self.memo.update(self._learn(new))
-        return lead + b"".join(map(self.memo.__getitem__, parts))
+            new = words
+        self._learn(new)
+        get, out = self.memo.__getitem__, []
+        for t, parts in zip(texts, cut, strict=True):
+            if parts is None:
+                out.append(self._pack(self._ids(t)) if t else b"")
+            elif self.spaced:
+                out.append(self._pack(self._ids(parts[0])) + b"".join(map(get, parts[1:])))
+            else:
+                out.append(b"".join(map(get, parts)))
+        if len(self.memo) > CACHE_WORDS:  # one batch alone can hold more
+            self.memo.clear()
+        return out
 
     @staticmethod
     def _uneven(text: str) -> bool:
-        """Whether white space stands beside a space, or a space at an end: there the cuts differ."""
-        if text[0] == " " or text[-1] == " " or "  " in text:
+        """Whether white space other than single spaces and line feeds, or any at an end or beside another, makes the cuts differ."""
+        if text[0].isspace() or text[-1].isspace() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             return True
-        if len(text) == len(" ".join(text.split())) and not text[0].isspace() and text.split() == text.split(" "):
-            return False
-        return any(not p or p[0].isspace() or p[-1].isspace() for p in text.split(" "))
+        return bool(_RARE_SPACE.search(text) if not text.isascii() else any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"))
 
 
 _LOADED: dict[str, CachedTokenizer] = {}
@@ -141,7 +158,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", te
         tok = loaded(path)
         last = np.array([end_id], dtype="<u4").tobytes()
         for b in by_bytes(batches, "text"):
-            raw = [tok.encode(t) + last for t in b.column(1).to_pylist()]
+            raw = [r + last for r in tok.encode_all(b.column(1).to_pylist())]
             size = np.array([len(r) // 4 for r in raw])
             ids = np.frombuffer(b"".join(raw), dtype="<i4")
             cut = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
