@@ -107,15 +107,15 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY,
 def pack_documents(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, piece: int = PIECE, group_docs: int = GROUP_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Pieces are dealt evenly to groups by a hash of id, start and crc (a key that repeats spreads too);
+    Pieces are dealt evenly to groups by a hash of their place in the scan, so repeated rows spread too;
     a group holds about group_docs documents whatever the table's size, and each is packed by itself,
-    whole windows as sequences of their own. The result is the same at every run over the same rows.
+    whole windows as sequences of their own. The result is the same at every run over the same files.
     Null texts give the end id alone. Repeated rows are packed as often as they come. An empty table
     gives an empty one.
     """
     groups = max(1, -(-docs.count() // group_docs))
     rows = pieces_of(docs, path, end_id, capacity, piece, id_col, text_col).withColumnRenamed(id_col, "id")
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("id", "start", "ids_crc32", F.spark_partition_id()), F.lit(groups)))
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:

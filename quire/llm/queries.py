@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.audio import op9_telephony
+from quire.llm.jaccard import op7_jaccard_join
 from quire.llm.langid import op3_language_id
 from quire.llm.packing import op5_packing
 from quire.llm.secrets import op10_secret_scan
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op5_packing": op5_packing,
     "op6_token_ids": op6_token_ids,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_telephony": op9_telephony,
     "op10_secret_scan": op10_secret_scan,
 }
