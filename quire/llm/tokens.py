@@ -7,7 +7,6 @@ indexes, in files that are sorted by document: a reader can skip to some documen
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 import uuid
 import zlib
@@ -24,8 +23,9 @@ from quire.llm._shared import by_bytes, shared_dir, table
 #: The place of the tokenizer files: None asks the public_tokenizers package.
 TOKENIZER_DIR: str | None = None
 #: Words that one worker remembers; the memory is emptied when full, so it stays bounded.
-CACHE_WORDS = 600_000
-_RARE_SPACE = re.compile(r"[^\S \n]")
+CACHE_WORDS = 1_500_000
+_OTHER_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+_ASCII_SPACES = [c for c in _OTHER_SPACES if c.isascii()]
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
 #: Documents that one output file holds, about.
 DOCS_PER_FILE = 8_000
@@ -39,6 +39,18 @@ def tokenizer_path(name: str, folder: str | None = TOKENIZER_DIR) -> str:
     return public_tokenizers.path(name)
 
 
+class Memory(dict):
+    """Words and their ids; one that is asked for and lacks is learned."""
+
+    def __init__(self, tokenizer: CachedTokenizer):
+        super().__init__()
+        self.learn = tokenizer.learn
+
+    def __missing__(self, w: str) -> bytes:
+        got = self[w] = self.learn(w)
+        return got
+
+
 class CachedTokenizer:
     """encode_all() of one tokenizer file, word by word with a bounded memory.
 
@@ -62,7 +74,7 @@ class CachedTokenizer:
         self.marks = {c: self._pack(self._ids("a" + c)[len(self._ids("a")) :]) for c in ".,;:!?)"}
         self.lead = chr(self.byte_chars[32]) if self.spaced else ""
         self.feed = self._pack(self._ids("\n")) if self.spaced else b""
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memory(self)
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
@@ -85,52 +97,34 @@ class CachedTokenizer:
             w = w.lower()
         return array("I", [t.id for t in self.model.tokenize(lead + w)]).tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        """Remember the ids of each word behind a space (or with its own line feed in front)."""
-        memo, marks, lead, letters = self.memo, self.marks, self.lead, self._letters
-        for w in new:
-            if w.isalpha():
-                if w not in memo:
-                    memo[w] = letters(w, lead)
-                continue
-            core = w[:-1]
-            if w[-1:] in marks and core.isalpha():
-                got = memo.get(core)
-                if got is None:
-                    got = memo[core] = letters(core, lead)
-                memo[w] = got + marks[w[-1]]
-            elif w[:1] == "\n":
-                core = w[1:]
-                memo[w] = self.feed + letters(core, "") if core.isalpha() else self._pack(self._ids(w))
-            else:
-                memo[w] = self._pack(self._ids(" " + w if self.spaced else w))
+    def learn(self, w: str) -> bytes:
+        """The ids of a word behind a space (or with its own line feed in front)."""
+        if w.isalpha():
+            return self._letters(w, self.lead)
+        core = w[:-1]
+        if w[-1:] in self.marks and core.isalpha():
+            return self.memo[core] + self.marks[w[-1]]
+        if w[:1] == "\n" and w[1:].isalpha():
+            return self.feed + self._letters(w[1:], "")
+        return self._pack(self._ids(" " + w if self.spaced and w[:1] != "\n" else w))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: none) as unsigned 32-bit integers in the machine's order, which is little-endian."""
-        cut: list[list[str] | None] = []
-        words: set[str] = set()
+        out, join = [], b"".join
         for t in texts:
-            if not t or self._uneven(t):
-                cut.append(None)
-                continue
-            parts = t.replace("\n", " \n" if self.spaced else " ").split(" ")
-            words.update(parts[1:] if self.spaced else parts)
-            cut.append(parts)
-        new = words.difference(self.memo)
-        if len(self.memo) + len(new) > CACHE_WORDS:
-            self.memo.clear()
-            new = words
-        self._learn(new)
-        get, out = self.memo.__getitem__, []
-        for t, parts in zip(texts, cut, strict=True):
-            if parts is None:
-                out.append(self._pack(self._ids(t)) if t else b"")
-            elif self.spaced:
-                out.append(self._pack(self._ids(parts[0])) + b"".join(map(get, parts[1:])))
+            if not t:
+                out.append(b"")
+            elif self._uneven(t):
+                out.append(self._pack(self._ids(t)))
             else:
-                out.append(b"".join(map(get, parts)))
-        if len(self.memo) > CACHE_WORDS:  # one batch alone can hold more
-            self.memo.clear()
+                if len(self.memo) > CACHE_WORDS:
+                    self.memo.clear()
+                get = self.memo.__getitem__
+                if self.spaced:
+                    parts = t.replace("\n", " \n").split(" ")
+                    out.append(self._pack(self._ids(parts[0])) + join(map(get, parts[1:])))
+                else:
+                    out.append(join(map(get, t.replace("\n", " ").split(" "))))
         return out
 
     @staticmethod
@@ -138,7 +132,7 @@ class CachedTokenizer:
         """Whether white space other than single spaces and line feeds, or any at an end or beside another, makes the cuts differ."""
         if text[0].isspace() or text[-1].isspace() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             return True
-        return bool(_RARE_SPACE.search(text) if not text.isascii() else any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"))
+        return any(c in text for c in (_ASCII_SPACES if text.isascii() else _OTHER_SPACES))
 
 
 _LOADED: dict[str, CachedTokenizer] = {}
