@@ -26,7 +26,7 @@ def glossary_hits(units: DataFrame, glossary: DataFrame, key: str = "uid", sourc
     out = None
     for part in _blocks(glossary, "term"):
         low = F.lower(F.col(source))
-        hit = low.contains(F.col("term")) if not strict else low.rlike(F.concat(F.lit(r"\b\Q"), F.col("term"), F.lit(r"\E\b")))
+        hit = low.contains(F.col("term")) if not strict else F.regexp_like(low, F.concat(F.lit(r"\b\Q"), F.col("term"), F.lit(r"\E\b")))
         got = units.select(key, source).join(F.broadcast(part), hit).select(key, "term", "ja")
         out = got if out is None else out.unionByName(got)
     return out
