@@ -1,5 +1,6 @@
 """Substring deduplication with compressed FM-indexes.
 
+Of equal texts only the one with the least id is looked at; the others' windows all repeat it.
 A window of k words is anchored at its least m-word gram, so equal windows anywhere have equal anchors.
 Consecutive windows with one anchor form a segment. Anchors that only one document holds can't repeat
 and are dropped by a bitmap of bounded size (too full a bitmap only lets more through). The segments
@@ -20,12 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._shared import by_bytes, slices, stored, table
-from quire.llm.wordhash import grams, words
+from quire.llm import bitmap
+from quire.llm._shared import by_bytes, stored, table
+from quire.llm.wordhash import buffer_of, grams, sequence_hash, words
 
-WINDOW, GRAM = 13, 6
-#: Bits of the bitmap of shared anchors: about 16 an anchor, 2**28 (32 MB) at most.
-MAX_BITS, BITS_PER_ANCHOR = 28, 16
+WINDOW, GRAM = 13, 5
 #: Segments of one shard, about; an anchor with more distinct segments is split over several indexes.
 SHARD_SEGMENTS = 20_000
 DOCS_PER_BUCKET = 4_000
@@ -117,51 +117,55 @@ class FMIndex:
         return out
 
 
-def segments(texts: pa.Array, k: int = WINDOW, m: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes and count of words before each text; then anchor, text, first word and number of windows of each segment."""
-    h, doc, _, _ = words(texts)
+def segments(texts: pa.Array, k: int = WINDOW, m: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and end byte of each word, and words before each text; then anchor, text, first word and number of windows of each segment."""
+    h, doc, begin, end = words(texts)
     count = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
     base = np.concatenate([[0], np.cumsum(count)])
     none = np.zeros(0, np.int64)
     n = len(h) - k + 1
     if n <= 0:
-        return h, base, np.zeros(0, np.uint64), none, none, none
+        return h, begin, end, base, np.zeros(0, np.uint64), none, none, none
     g = grams(h, m)
     best, arg = g[:n].copy(), np.arange(n)
+    place = np.arange(n + k)
     for s in range(1, k - m + 1):
         less = g[s : s + n] < best
-        best[less] = g[s : s + n][less]
-        arg[less] = np.flatnonzero(less) + s
+        np.copyto(best, g[s : s + n], where=less)
+        np.copyto(arg, place[s : s + n], where=less)
     whole = np.flatnonzero(doc[:n] == doc[k - 1 :])
     if not len(whole):
-        return h, base, np.zeros(0, np.uint64), none, none, none
+        return h, begin, end, base, np.zeros(0, np.uint64), none, none, none
     a = arg[whole]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (whole[1:] != whole[:-1] + 1)])
     first = np.flatnonzero(new)
-    return h, base, best[whole[first]], doc[whole[first]], whole[first], np.diff(np.append(first, len(whole)))
+    return h, begin, end, base, best[whole[first]], doc[whole[first]], whole[first], np.diff(np.append(first, len(whole)))
 
 
-def shared_anchor_bitmap(docs: DataFrame, k: int, m: int, n_docs: int) -> tuple[np.ndarray, int]:
-    """A bitmap (and its log2 size) that holds each anchor of more than one row of (id, text).
+def kept_rows(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of batches (id, key, text) the rows whose key is in the bitmap."""
+    for b in batches:
+        yield b.filter(pa.array(bitmap.contains(bits, b.column(1).to_numpy())))
 
-    Anchors travel packed, by their leading bits; only the bitmap, never the anchors, reaches the driver.
-    """
+
+def shared_anchors(docs: DataFrame, reps: np.ndarray, k: int, m: int, n_docs: int) -> np.ndarray:
+    """A bitmap that holds each anchor of more than one of the rows (id, key, text) in reps. Anchors travel packed, by their leading bits."""
     r = int(np.clip(np.ceil(np.log2(max(1, n_docs / DOCS_PER_BUCKET))), 4, 14))
+    own = docs.sparkSession.sparkContext.broadcast(reps)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
             a = np.sort(np.concatenate(held))
-            # more than two of one anchor tell no more than two
-            if len(a) > 2:
+            if len(a) > 2:  # more than two of one anchor tell no more than two
                 a = a[np.concatenate([[True, True], a[2:] != a[:-2]])]
             cut = np.searchsorted(a >> np.uint64(64 - r), np.arange((1 << r) + 1, dtype=np.uint64))
             some = np.flatnonzero(np.diff(cut))
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([a[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], ["bucket", "anchors"])
 
-        for b in by_bytes(batches, "text"):
-            _, _, anchor, doc, _, _ = segments(b.column(1), k, m)
+        for b in by_bytes(kept_rows(batches, own.value), "text", 1 << 20):
+            _, _, _, _, anchor, doc, _, _ = segments(b.column(2), k, m)
             if len(anchor):
                 o = np.lexsort((anchor, doc))  # each anchor once for each text
                 x, d = anchor[o], doc[o]
@@ -175,61 +179,40 @@ def shared_anchor_bitmap(docs: DataFrame, k: int, m: int, n_docs: int) -> tuple[
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
         a = np.sort(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in part["anchors"]]))
-        twice = a[1:][a[1:] == a[:-1]]
-        return pd.DataFrame({"bucket": [int(part["bucket"].iloc[0])], "anchors": [np.unique(twice).tobytes()]})
-
-    packed = docs.mapInArrow(pack, "bucket int, anchors binary").groupBy("bucket").applyInPandas(join, "bucket int, anchors binary")
-    packed = stored(packed, "anchors")
-    total = packed.agg(F.sum(F.length("anchors"))).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(max(1, total // 8 * BITS_PER_ANCHOR))), max(16, r + 3), MAX_BITS))
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for bucket, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = np.zeros(1 << (bits - r), dtype=bool)
-                own[((np.frombuffer(raw, dtype=np.uint64) >> np.uint64(64 - bits)) - (np.uint64(bucket) << np.uint64(bits - r))).astype(np.int64)] = True
-                out.append(np.packbits(own, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["bucket", "part"])
+        return pd.DataFrame({"h": np.unique(a[1:][a[1:] == a[:-1]]).view(np.int64)})
 
-    bitmap = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    width = 1 << (bits - r - 3)
-    for row in packed.mapInArrow(draw, "bucket int, part binary").toLocalIterator():
-        bitmap[row.bucket * width : (row.bucket + 1) * width] = np.frombuffer(row.part, dtype=np.uint8)
-    return bitmap, bits
+    both = docs.mapInArrow(pack, "bucket int, anchors binary").groupBy("bucket").applyInPandas(join, "h bigint")
+    both = stored(both, "anchors")
+    return bitmap.build(both, both.count())
 
 
-def repeated_segments(docs: DataFrame, k: int, m: int, bitmap: np.ndarray, bits: int) -> DataFrame:
-    """Of rows (id, th, text): kind 0, the distinct segments of a task (seg, anchor, lo and hi id, words); kind 1, their places (seg, id, th, pos)."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def repeated_segments(docs: DataFrame, reps: np.ndarray, anchors: np.ndarray, k: int, m: int) -> DataFrame:
+    """Of rows (id, key, text): kind 0, the distinct segments of a batch (seg, anchor, lo and hi id, words as text); kind 1, their places (seg, lo = id, hi = key, pos)."""
+    shared, own = docs.sparkSession.sparkContext.broadcast(anchors), docs.sparkSession.sparkContext.broadcast(reps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         names = ["kind", "seg", "anchor", "lo", "hi", "pos", "words"]
-        for b in by_bytes(batches, "text", 1 << 22):
-            h, base, anchor, doc, first, n = segments(b.column(2), k, m)
-            slot = (anchor >> np.uint64(64 - bits)).astype(np.int64)
-            hit = ((own[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
+        for b in by_bytes(kept_rows(batches, own.value), "text", 1 << 21):
+            h, begin, end, base, anchor, doc, first, n = segments(b.column(2), k, m)
+            hit = bitmap.contains(shared.value, anchor)
             anchor, doc, first, n = anchor[hit], doc[hit], first[hit], n[hit]
             if not len(anchor):
                 continue
             seg = np.zeros(len(anchor), dtype=np.uint64)
             for size in np.unique(n):
                 same = n == size
-                seg[same] = grams(h, int(size) + k - 1)[first[same]]
-            ids = b.column(0).to_numpy(zero_copy_only=False)[doc]
-            th = b.column(1).to_numpy(zero_copy_only=False)[doc]
+                seg[same] = sequence_hash(h[first[same][:, None] + np.arange(int(size) + k - 1)])
+            ids, key = b.column(0).to_numpy()[doc], b.column(1).to_numpy()[doc]
             o = np.lexsort((ids, seg))
-            new = np.concatenate([[True], seg[o][1:] != seg[o][:-1]])
-            at = np.flatnonzero(new)
+            at = np.flatnonzero(np.concatenate([[True], seg[o][1:] != seg[o][:-1]]))
             lo, hi = ids[o][at], ids[o][np.append(at[1:], len(o)) - 1]
             pick = o[at]
-            text = [h[first[i] : first[i] + n[i] + k - 1].tobytes() for i in pick]
+            raw = buffer_of(b.column(2))[0]
+            text = [raw[x:y].tobytes() for x, y in zip(begin[first[pick]].tolist(), end[first[pick] + n[pick] + k - 2].tolist(), strict=True)]
             z = np.zeros(len(pick), dtype=np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(z, pa.int8()), pa.array(seg[pick].view(np.int64)), pa.array(anchor[pick].view(np.int64)), pa.array(lo), pa.array(hi), pa.array(z), pa.array(text, pa.binary())], names)
             pos = (first - base[doc]).astype(np.int32)
-            nothing = pa.nulls(len(seg), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(seg), dtype=np.int8)), pa.array(seg.view(np.int64)), pa.nulls(len(seg), pa.int64()), pa.array(ids), pa.array(th), pa.array(pos), nothing], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(seg), dtype=np.int8)), pa.array(seg.view(np.int64)), pa.nulls(len(seg), pa.int64()), pa.array(ids), pa.array(key), pa.array(pos), pa.nulls(len(seg), pa.binary())], names)
 
     return stored(docs.mapInArrow(run, "kind tinyint, seg bigint, anchor bigint, lo bigint, hi bigint, pos int, words binary"), "segments")
 
@@ -250,17 +233,19 @@ def search_shards(found: DataFrame, k: int) -> DataFrame:
         at = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
         lo, hi = np.minimum.reduceat(part["lo"].to_numpy(), at), np.maximum.reduceat(part["hi"].to_numpy(), at)
         mine = part["mine"].to_numpy()[at]
-        raw = part["words"].to_numpy()[at]
         seg = seg[at]
-        size = np.array([len(x) // 8 for x in raw])
+        text, of, _, _ = words(pa.array(part["words"].to_numpy()[at], pa.binary()))
+        size = np.bincount(of, minlength=len(seg))
+        held = np.repeat(mine, size)
         if not mine.any():
             return pd.DataFrame({"seg": seg[:0], "mins": []})
-        index = FMIndex(np.frombuffer(b"".join(raw[mine]), dtype=np.uint64), size[mine], lo[mine])
+        index = FMIndex(text[held], size[mine], lo[mine])
         top = np.iinfo(np.int64).max
+        place = np.concatenate([[0], np.cumsum(size)])
         keep_seg, keep_mins = [], []
         for a in range(0, len(seg), 8_192):  # streamed
             n = size[a : a + 8_192]
-            syms = index.symbols(np.frombuffer(b"".join(raw[a : a + 8_192]), dtype=np.uint64))
+            syms = index.symbols(text[place[a] : place[min(a + 8_192, len(seg))]])
             start = np.concatenate([[0], np.cumsum(n)[:-1]])
             wins = n - k + 1
             cut = np.concatenate([[0], np.cumsum(wins)])
@@ -274,17 +259,15 @@ def search_shards(found: DataFrame, k: int) -> DataFrame:
     return rows.select("shard", "part", "seg", "lo", "hi", "mine", "words").groupBy("shard", "part").applyInPandas(run, "seg bigint, mins binary")
 
 
-def repeated_windows(docs: DataFrame, k: int = WINDOW, m: int = GRAM) -> DataFrame:
-    """Of rows (id, th, text): for each id and th with any, the first words of the windows that a smaller id also has (list of int32 arrays)."""
-    docs = docs.filter("id is not null and text is not null")
-    bitmap, bits = shared_anchor_bitmap(docs.select("id", "text"), k, m, docs.count())
-    found = repeated_segments(docs, k, m, bitmap, bits)
-    places = found.filter("kind = 1").select("seg", F.col("lo").alias("id"), F.col("hi").alias("th"), "pos")
+def repeated_windows(docs: DataFrame, reps: np.ndarray, n_docs: int, k: int = WINDOW, m: int = GRAM) -> DataFrame:
+    """Of rows (id, key, text) in reps: for each id and key with any, the first words of the windows that a smaller id also has (list of int32 arrays)."""
+    found = repeated_segments(docs, reps, shared_anchors(docs, reps, k, m, n_docs), k, m)
+    places = found.filter("kind = 1").select("seg", F.col("lo").alias("id"), F.col("hi").alias("key"), "pos")
     joined = places.join(search_shards(found, k), "seg")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, th, pos = (b.column(i).to_numpy() for i in range(3))
+            ids, key, pos = (b.column(i).to_numpy() for i in range(3))
             raw = b.column(3).to_pylist()
             n = np.array([len(x) // 8 for x in raw], dtype=np.int64)
             if not len(n):
@@ -294,10 +277,10 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW, m: int = GRAM) -> DataFra
             start = (np.repeat(pos - cut[:-1], n) + np.arange(cut[-1])).astype(np.int32)
             some = np.flatnonzero(np.logical_or.reduceat(old, cut[:-1]))
             out = [start[cut[i] : cut[i + 1]][old[cut[i] : cut[i + 1]]].tobytes() for i in some]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(th[some]), pa.array(out, pa.binary())], ["id", "th", "starts"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(key[some]), pa.array(out, pa.binary())], ["id", "key", "starts"])
 
-    flagged = joined.select("id", "th", "pos", "mins").mapInArrow(run, "id bigint, th bigint, starts binary")
-    return flagged.groupBy("id", "th").agg(F.collect_list("starts").alias("starts"))
+    flagged = joined.select("id", "key", "pos", "mins").mapInArrow(run, "id bigint, key bigint, starts binary")
+    return flagged.groupBy("id", "key").agg(F.collect_list("starts").alias("starts"))
 
 
 def dedup_substrings(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,28 +289,52 @@ def dedup_substrings(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", t
     A word goes if a window of k words over it also starts in a row with a smaller id. Null and
     empty texts have no words. Rows with a null id are left as they are and remove nothing. Rows with
     one id don't remove from each other; repeated rows give repeated results. Ids must be integers.
+    Only texts that lose words are shuffled.
     """
-    rows = docs.select(docs[id_col].cast("bigint").alias("id"), F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("text"))
-    wide = rows.join(repeated_windows(rows, k), ["id", "th"], "left").select("id", "text", "starts")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+    th = F.xxhash64(docs[text_col])
+    rows = docs.select(docs[id_col].cast("bigint").alias("id"), F.xxhash64(docs[id_col].cast("bigint"), th).alias("key"), docs[text_col].alias("text"))
+    usable = rows.filter("id is not null and text is not null")
+    ids = docs.select(docs[id_col].cast("bigint").alias("id"), th.alias("th"), F.xxhash64(docs[id_col].cast("bigint"), th).alias("key")).filter(docs[id_col].isNotNull() & docs[text_col].isNotNull())
+    firsts = stored(ids.groupBy("th").agg(F.min("id").alias("first"), F.max("id").alias("last")), "firsts")
+    n = firsts.count()
+    reps = bitmap.build(firsts.select(F.xxhash64("first", "th")), n)
+    copies = ids.join(firsts.filter("first < last"), "th").filter("id > first").select("id", "key").distinct()
+    part = repeated_windows(usable, reps, n, k)
+    none = F.lit(None).cast("array<binary>")
+    covers = stored(part.join(copies, ["id", "key"], "left_anti").select("id", "key", "starts", F.lit(False).alias("whole")).unionByName(copies.select("id", "key", none.alias("starts"), F.lit(True).alias("whole"))), "covers")
+    touched = docs.sparkSession.sparkContext.broadcast(bitmap.build(covers.select("key"), covers.count()))
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, "text", 1 << 20):
             n, gone, kept = [], [], []
-            for text, starts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                parts = (text or "").encode().split()
+            for text, starts, whole in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                parts = (text or b"").split()
                 n.append(len(parts))
-                if starts:
+                cover = None
+                if whole and len(parts) >= k:
+                    parts, cover = [], np.ones(len(parts), dtype=bool)
+                elif starts:
                     s = np.frombuffer(b"".join(starts), dtype=np.int32)
-                    edge = np.bincount(s, minlength=len(parts) + 1) - np.bincount(s + k, minlength=len(parts) + 1)[: len(parts) + 1]
+                    edge = np.bincount(s, minlength=len(parts) + 1) - np.bincount(s + k, minlength=len(parts) + 1)
                     cover = np.cumsum(edge)[: len(parts)] > 0
-                    gone.append(int(cover.sum()))
                     parts = [p for p, c in zip(parts, cover.tolist(), strict=True) if not c]
-                else:
-                    gone.append(0)
-                kept.append(b" ".join(parts).decode())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
+                gone.append(0 if cover is None else int(cover.sum()))
+                kept.append(b" ".join(parts))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], ["id", "n_words", "n_removed", "kept"])
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(~bitmap.contains(touched.value, b.column(1).to_numpy())))
+            yield from cut_out(iter([pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.nulls(b.num_rows), pa.array(np.zeros(b.num_rows, dtype=bool))], ["id", "text", "starts", "whole"])]))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return kept_rows(batches, touched.value)
 
-    return wide.mapInArrow(run, "id bigint, n_words bigint, n_removed bigint, kept string").withColumnRenamed("id", id_col)
+    schema = "id bigint, n_words bigint, n_removed bigint, kept binary"
+    rows = rows.withColumn("text", F.col("text").cast("binary"))
+    wide = rows.mapInArrow(some, rows.schema).join(covers, ["id", "key"], "left").select("id", "text", "starts", F.coalesce("whole", F.lit(False)).alias("whole"))
+    out = rows.mapInArrow(untouched, schema).unionByName(wide.mapInArrow(cut_out, schema))
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """64-bit hashes of the words of many texts at once, on their UTF-8 bytes.
 
 A word is a run of bytes other than space and \\t..\\r. The hash of a word is the sum of a random
-number for each byte times a power for its place in the word, modulo 2**64, then mixed. Every step
-is one numpy call over the bytes of the batch, so there is no Python call for each word.
+number for each byte times a power for its place in the word, modulo 2**64, then mixed. Running sums
+with powers by the place in the batch give it: their difference over a word, times the inverse power of
+its first place. Every step is one numpy call over many bytes, so there is no Python call for each word.
 """
 
 from __future__ import annotations
@@ -19,15 +20,20 @@ _SPLIT = _SEP.copy()  # also at every ASCII character that is neither letter nor
 _SPLIT[:128] |= [not chr(c).isalnum() for c in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POW = np.ones(64, dtype=np.uint64)
+#: Bytes whose running sums are held at a time; a longer word is taken alone.
+BLOCK = 1 << 20
+_POW = _INV = np.ones(1, dtype=np.uint64)
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POW
-    if len(_POW) < n or _POW[1] == 1:
-        size = max(1024, 2 * n)
-        _POW = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _BASE, dtype=np.uint64)]), dtype=np.uint64)
-    return _POW
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the base, and of its inverse."""
+    global _POW, _INV
+    if len(_POW) < n:
+        size = max(1 << 16, 2 * n if n < BLOCK else n)
+        one = [np.uint64(1)]
+        _POW = np.cumprod(np.concatenate([one, np.full(size - 1, _BASE, dtype=np.uint64)]), dtype=np.uint64)
+        _INV = np.cumprod(np.concatenate([one, np.full(size - 1, pow(_BASE, -1, 1 << 64), dtype=np.uint64)]), dtype=np.uint64)
+    return _POW, _INV
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -65,24 +71,29 @@ def words(texts: pa.Array, lower: bool = False, split: bool = False) -> tuple[np
     if lower:
         raw = _LOWER[raw]
     solid = ~(_SPLIT if split else _SEP)[raw]
-    begin = solid.copy()
-    begin[1:] &= ~solid[:-1]
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
     cut = off[1:-1]
-    cut = cut[cut < len(raw)]
-    begin[cut] = solid[cut]  # a text's first byte starts a word even if the text before ended in one
-    starts = np.flatnonzero(begin)
+    cut = cut[(cut > 0) & (cut < len(raw))]  # a word ends with its text, even if the next text begins with one
+    first[cut] = solid[cut]
+    last[cut - 1] = solid[cut - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(starts):
         return np.zeros(0, np.uint64), none, none, none
-    word = np.cumsum(begin) - 1
-    place = np.arange(len(raw)) - starts[np.maximum(word, 0)]
-    # separators add nothing; their place is past their word's end
-    n_solid = np.add.reduceat(solid, starts, dtype=np.int64)
-    place[~solid] = 0
-    vals = _BYTE[raw] * _powers(int(place.max()) + 1)[place]
-    vals[~solid] = 0
-    h = mix(np.add.reduceat(vals, starts) + n_solid.astype(np.uint64))
+    h = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        at = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, at + BLOCK, side="right")))
+        size = int(ends[j - 1] - at)
+        power, inverse = _powers(size)
+        run = np.zeros(size + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[raw[at : at + size]] * power[:size], out=run[1:])
+        h[i:j] = (run[ends[i:j] - at] - run[starts[i:j] - at]) * inverse[starts[i:j] - at]
+        i = j
     doc = np.searchsorted(off, starts, side="right") - 1
-    return h, doc, starts, starts + n_solid
+    return mix(h + (ends - starts).astype(np.uint64)), doc, starts, ends
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -97,6 +108,15 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def sequence_hash(rows: np.ndarray) -> np.ndarray:
+    """Hash of each row of word hashes; equal to grams() of its words."""
+    out = np.full(len(rows), np.uint64(rows.shape[1]), dtype=np.uint64)
+    for j in range(rows.shape[1]):
+        out = (out ^ rows[:, j]) * np.uint64(0x9FB21C651E98DF25)
+        out ^= out >> np.uint64(29)
+    return mix(out)
+
+
 def shingle_sets(texts: pa.Array, n: int, lower: bool = False) -> list[np.ndarray]:
     """For each text the sorted distinct n-word shingles; the whole sequence as one where it is shorter; none without words."""
     h, doc, _, _ = words(texts, lower)
