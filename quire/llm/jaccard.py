@@ -5,7 +5,8 @@ a token among the first few of each; this holds in every order, so candidates mu
 token in several. Orders put frequent tokens last (their classes come from counts over all documents)
 and differ in the hash that orders a class. A parity bitmap bounds the difference of two sets from
 below. What is left is verified on whole sets: first a star of links for each document, then only the
-candidates whose ends are still apart.
+candidates whose ends are still apart. A prefix token of many documents is gone through twice: at first
+each document takes one candidate there, and once those are joined, only pairs still apart are made.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm import bitmap
 from quire.llm._shared import by_bytes, stored, table
 from quire.llm.graph import components
 from quire.llm.wordhash import mix, shingle_sets
@@ -29,6 +32,10 @@ FREQUENT_MAX = 1 << 20
 BITS = 1024
 #: Rows of one block of a prefix token; more are split into blocks, and each pair of blocks is its own key.
 BLOCK = 512
+#: A prefix token of more rows than this is one of many documents.
+MANY = 24
+#: Leading bits of a prefix token's hash that name its bucket are chosen for about so many rows in each.
+ROWS_PER_BUCKET = 1 << 18
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, 16, dtype=np.uint64)
 
 
@@ -72,20 +79,30 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def profiles(docs: DataFrame, words: int, lower: bool, num: int, den: int, orders: int) -> DataFrame:
-    """For each row of (id, text): n, digest d1 d2 of its set, parity bitmap, and prefixes array<array<bigint>>, one for each order."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, words, lower))
+def order_keys(tokens: np.ndarray, frequent: np.ndarray, classes: np.ndarray, k: int) -> np.ndarray:
+    """The place of each token in the k-th global order: its class, then a hash of that order."""
+    cls = np.zeros(len(tokens), dtype=np.uint64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+        cls = np.where(frequent[at] == tokens, classes[at], 0).astype(np.uint64)
+    return (cls << np.uint64(58)) | (mix(tokens ^ _SEEDS[k]) >> np.uint64(6))
+
+
+def prefix_of(s: np.ndarray, keys: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first tokens of a set in the order of its keys, in that order."""
+    p = prefix_length(len(s), num, den)
+    first = np.argpartition(keys, p - 1)[:p] if p < len(s) else np.arange(len(s))
+    return s[first[np.argsort(keys[first], kind="stable")]]
+
+
+def profiles(docs: DataFrame, frequent, words: int, lower: bool, num: int, den: int) -> DataFrame:
+    """For each row of (id, text): n, digest d1 d2 of its set, parity bitmap, and its prefix in the first order as packed tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, classes = shared.value
         for b in by_bytes(batches, "text"):
             sets = shingle_sets(b.column(1), words, lower)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            cls = np.zeros(len(flat), dtype=np.uint64)
-            if len(frequent):
-                at = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
-                cls = np.where(frequent[at] == flat, classes[at], 0).astype(np.uint64)
-            keys = [(cls << np.uint64(58)) | (mix(flat ^ _SEEDS[k]) >> np.uint64(6)) for k in range(orders)]
+            keys = order_keys(flat, *frequent.value, 0)
             other = mix(flat + _SEEDS[15])
             n, d1, d2, maps, prefixes, at = [], [], [], [], [], 0
             for s in sets:
@@ -97,32 +114,57 @@ def profiles(docs: DataFrame, words: int, lower: bool, num: int, den: int, order
                 d1.append(int(np.add.reduce(mix(s)).view(np.int64)))
                 d2.append(int(np.bitwise_xor.reduce(other[at : at + m]).view(np.int64)))
                 maps.append(np.packbits((np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes())
-                p, own = prefix_length(m, num, den), []
-                for key in keys:
-                    k = key[at : at + m]
-                    first = np.argpartition(k, p - 1)[:p] if p < m else np.arange(m)
-                    own.append(s[first[np.argsort(k[first], kind="stable")]].view(np.int64))
-                prefixes.append(own)
+                prefixes.append(prefix_of(s, keys[at : at + m], num, den).tobytes())
                 at += m
-            inner = pa.list_(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(maps, pa.binary()), pa.array([None if p is None else [x.tolist() for x in p] for p in prefixes], inner)], ["id", "n", "d1", "d2", "bitmap", "prefixes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(maps, pa.binary()), pa.array(prefixes, pa.binary())], ["id", "n", "d1", "d2", "bitmap", "prefix"])
+
+    return stored(docs.mapInArrow(run, "id bigint, n bigint, d1 bigint, d2 bigint, bitmap binary, prefix binary"), "profiles")
 
-    return stored(docs.mapInArrow(run, "id bigint, n bigint, d1 bigint, d2 bigint, bitmap binary, prefixes array<array<bigint>>"), "profiles")
 
+def shared_prefix_tokens(prof: DataFrame) -> np.ndarray:
+    """A bitmap of the prefix tokens that two different sets hold. Tokens travel packed with 4 bytes of their set's digest."""
+    total = prof.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    r = int(np.clip(np.ceil(np.log2(max(1, total / 8 / ROWS_PER_BUCKET))), 4, 16))
+    kind = np.dtype([("tok", "<u8"), ("set", "<u4")])
 
-def _pairs_in_runs(num: int, den: int):
-    """mapInArrow over rows sorted by (tok, bi, bj, n, id): candidate pairs of each run that pass size, bitmap and first-token tests."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(1).to_pylist()
+            size = np.array([len(x) // 8 for x in raw], dtype=np.int64)
+            rows = np.zeros(int(size.sum()), dtype=kind)
+            rows["tok"] = mix(np.frombuffer(b"".join(raw), dtype=np.uint64))
+            rows["set"] = np.repeat(b.column(0).to_numpy().view(np.uint64), size) & np.uint64(0xFFFFFFFF)
+            rows = np.unique(rows)  # copies in one task count once
+            cut = np.searchsorted(rows["tok"] >> np.uint64(64 - r), np.arange((1 << r) + 1, dtype=np.uint64))
+            some = np.flatnonzero(np.diff(cut))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], ["bucket", "rows"])
+
+    def join(part: pd.DataFrame) -> pd.DataFrame:
+        rows = np.unique(np.concatenate([np.frombuffer(x, dtype=kind) for x in part["rows"]]))
+        tok = rows["tok"]
+        return pd.DataFrame({"h": np.unique(tok[1:][tok[1:] == tok[:-1]]).view(np.int64)})
+
+    packed = prof.filter("id is not null and n > 0").select("d1", "prefix").mapInArrow(pack, "bucket int, rows binary")
+    both = stored(packed.groupBy("bucket").applyInPandas(join, "h bigint"), "shared-tokens")
+    return bitmap.build(both, both.count())
+
+
+def _pairs_in_runs(num: int, den: int, star: bool):
+    """mapInArrow over rows sorted by (tok, bi, bj, n, id): pairs of each run that pass size, bitmap and first-token tests.
+
+    star: in runs of tokens of many documents a row takes its first partner only. Otherwise the rows bear
+    components, and pairs of one component are passed over.
+    """
 
-    def close(rows: list[tuple]) -> tuple[list[int], list[int]]:
-        out_a: list[int] = []
-        out_b: list[int] = []
+    def close(rows: list[tuple], out_a: list[int], out_b: list[int]) -> None:
         if len(rows) < 2:
-            return out_a, out_b
-        ids = [r[5] for r in rows]
-        n = np.array([r[4] for r in rows])
-        block = np.array([r[3] for r in rows])
-        cross = rows[0][1] != rows[0][2]
-        maps = np.frombuffer(b"".join(r[6] for r in rows), dtype=np.uint64).reshape(len(rows), -1)
+            return
+        ids = [r[6] for r in rows]
+        n = np.array([r[5] for r in rows])
+        block = np.array([r[4] for r in rows])
+        group = np.array([r[9] for r in rows])
+        cross, one = rows[0][1] != rows[0][2], star and rows[0][3]
+        maps = np.frombuffer(b"".join(r[7] for r in rows), dtype=np.uint64).reshape(len(rows), -1)
         before: dict[int, frozenset] = {}
         last = np.searchsorted(n, n * den // num, side="right")  # sorted by n: a partner's size is at most n * den / num
         for i in range(len(rows) - 1):
@@ -134,80 +176,105 @@ def _pairs_in_runs(num: int, den: int):
             ok = differ <= both - 2 * -(-num * both // (num + den))
             if cross:
                 ok &= block[i + 1 : e] != block[i]
+            if not star:
+                ok &= group[i + 1 : e] != group[i]
             for j in (np.flatnonzero(ok) + i + 1).tolist():
                 if ids[i] == ids[j]:
                     continue
                 for k in (i, j):
                     if k not in before:
-                        before[k] = frozenset(np.frombuffer(rows[k][7], dtype=np.int64).tolist())
-                if before[i].isdisjoint(before[j]):
+                        before[k] = frozenset(np.frombuffer(rows[k][8], dtype=np.int64).tolist())
+                if one or before[i].isdisjoint(before[j]):
                     out_a.append(min(ids[i], ids[j]))
                     out_b.append(max(ids[i], ids[j]))
-        return out_a, out_b
+                    if one:
+                        break
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         a: list[int] = []
         b: list[int] = []
         for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            for r in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
                 if r[:3] != key:
-                    x, y = close(rows)
-                    a += x
-                    b += y
+                    close(rows, a, b)
                     key, rows = r[:3], []
                 rows.append(r)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 a, b = [], []
-        x, y = close(rows)
-        if a + x:
-            yield pa.RecordBatch.from_arrays([pa.array(a + x, pa.int64()), pa.array(b + y, pa.int64())], ["a", "b"])
+        close(rows, a, b)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def candidates(prof: DataFrame, num: int, den: int, orders: int) -> DataFrame:
-    """Pairs a < b of ids, one row each, that pass every filter; copies (equal sets) stand behind their least id."""
-    named = prof.filter("id is not null and n > 0")
-    first = named.select("id", "d1", "d2", F.explode(F.col("prefixes")[0]).alias("tok"))
-    alive = first.groupBy("tok").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.min("d2").alias("lo2"), F.max("d2").alias("hi2")).filter("lo <> hi or lo2 <> hi2")
-    rows = stored(first.join(alive.select("tok"), "tok", "left_semi").groupBy("tok", "d1", "d2").agg(F.min("id").alias("id")).select("tok", "id"), "alive")
-    count = rows.groupBy("tok").agg(F.count("*").alias("m"))
-    rows = rows.join(count.filter(F.col("m") > BLOCK), "tok", "left")
-    mine = rows.groupBy("id").agg(F.collect_list(F.struct("tok", F.coalesce("m", F.lit(0)).alias("m"))).alias("toks"))
-    reps = named.join(mine, "id").dropDuplicates(["id", "d1", "d2"])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        for b in batches:
-            out: list[list] = [[] for _ in kinds]
-            for doc, n, bitmap, prefix, toks in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                m = {t["tok"]: t["m"] for t in toks}
-                own = np.array([t for t in prefix if t in m], dtype=np.int64)
-                for k, tok in enumerate(own.tolist()):
-                    before = own[:k].tobytes()
-                    blocks = max(1, -(-m[tok] // BLOCK))
-                    mine = int(mix(np.array([doc], dtype=np.int64).view(np.uint64))[0] % np.uint64(blocks))
-                    for other in range(blocks):
-                        for col, v in zip(out, (tok, min(mine, other), max(mine, other), mine, n, doc, bitmap, before), strict=True):
-                            col.append(v)
-                if len(out[0]) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
-                    out = [[] for _ in kinds]
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
-
-    names = ["tok", "bi", "bj", "own", "n", "id", "bitmap", "before"]
-    keyed = reps.select("id", "n", "bitmap", F.col("prefixes")[0].alias("prefix"), "toks").mapInArrow(spread, "tok bigint, bi int, bj int, own int, n bigint, id bigint, bitmap binary, before binary")
-    parts = int(prof.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = keyed.repartition(parts, "tok", "bi", "bj").sortWithinPartitions("tok", "bi", "bj", "n", "id")
-    pairs = stored(runs.mapInArrow(_pairs_in_runs(num, den), "a bigint, b bigint").distinct(), "pairs")
-    for k in range(1, orders):
-        other = named.select("id", F.col("prefixes")[k].alias("p"))
-        left, right = other.toDF("a", "pa"), other.toDF("b", "pb")
-        pairs = pairs.join(left, "a").join(right, "b").filter(F.arrays_overlap("pa", "pb")).select("a", "b").distinct()
-    return stored(pairs, "pairs")
+class Candidates:
+    """Documents that share prefix tokens, behind the least id of their equal sets, and the pairs among them."""
+
+    def __init__(self, prof: DataFrame, num: int, den: int):
+        self.num, self.den, self.spark = num, den, prof.sparkSession
+        shared = self.spark.sparkContext.broadcast(shared_prefix_tokens(prof))
+
+        def own_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep, toks = [], []
+                for raw in b.column(5).to_pylist():
+                    t = np.frombuffer(raw, dtype=np.uint64)
+                    t = t[bitmap.contains(shared.value, mix(t))]
+                    keep.append(len(t) > 0)
+                    toks.append(t.view(np.int64))
+                mask = pa.array(keep, pa.bool_())
+                cut = np.concatenate([[0], np.cumsum([len(t) for t in toks])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([*toks, np.zeros(0, np.int64)])))
+                yield pa.RecordBatch.from_arrays([*(b.column(i).filter(mask) for i in range(5)), lists.filter(mask)], ["id", "n", "d1", "d2", "bitmap", "toks"])
+
+        named = prof.filter("id is not null and n > 0").select("id", "n", "d1", "d2", "bitmap", "prefix")
+        some = named.mapInArrow(own_tokens, "id bigint, n bigint, d1 bigint, d2 bigint, bitmap binary, toks array<bigint>")
+        reps = some.groupBy("d1", "d2").agg(F.min_by(F.struct("id", "n", "bitmap", "toks"), "id").alias("r"))
+        self.reps = stored(reps.select("r.*"), "representatives")
+        count = self.reps.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("m")).filter("m > 1")
+        self.count = stored(count, "prefix-tokens")
+
+    def pairs(self, groups: DataFrame | None = None) -> DataFrame:
+        """Pairs a < b. groups (node, component): only pairs apart, at tokens of many documents; else one partner for each document there, and all pairs elsewhere."""
+        count = self.count if groups is None else self.count.filter(F.col("m") > MANY)
+        rows = self.reps.select("id", F.explode("toks").alias("tok")).join(count, "tok")
+        mine = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("tok", "m"))).alias("m"))
+        wide = self.reps.join(mine, "id")
+        wide = wide.withColumn("component", F.lit(0).cast("bigint")) if groups is None else wide.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+        names = ["tok", "bi", "bj", "many", "own", "n", "id", "bitmap", "before", "component"]
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def flush() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+
+            for b in batches:
+                out: list[list] = [[] for _ in kinds]
+                for doc, n, bits, toks, m, comp in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                    m = dict(m)
+                    all_before = np.array(toks, dtype=np.int64)
+                    for k, tok in enumerate(toks):
+                        if tok not in m:
+                            continue
+                        before = all_before[:k].tobytes()
+                        blocks = max(1, -(-m[tok] // BLOCK))
+                        own = int(mix(np.array([doc], dtype=np.int64).view(np.uint64))[0] % np.uint64(blocks))
+                        for other in range(blocks):
+                            for col, v in zip(out, (tok, min(own, other), max(own, other), m[tok] > MANY, own, n, doc, bits, before, comp), strict=True):
+                                col.append(v)
+                    if len(out[0]) >= 4096:
+                        yield flush()
+                        out = [[] for _ in kinds]
+                if out[0]:
+                    yield flush()
+
+        keyed = wide.select("id", "n", "bitmap", "toks", "m", "component").mapInArrow(spread, "tok bigint, bi int, bj int, many boolean, own int, n bigint, id bigint, bitmap binary, before binary, component bigint")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        runs = keyed.repartition(parts, "tok", "bi", "bj").sortWithinPartitions("tok", "bi", "bj", "n", "id")
+        return stored(runs.mapInArrow(_pairs_in_runs(self.num, self.den, groups is None), "a bigint, b bigint").distinct(), "pairs")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -240,25 +307,44 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     empty table gives an empty one. Ids must be integers.
     """
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
-    prof = profiles(rows, words, lower, num, den, orders)
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(rows, words, lower))
+    prof = profiles(rows, frequent, words, lower, num, den)
     copies = prof.filter("id is not null and n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    pairs = candidates(prof, num, den, orders)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), words, lower)], pa.binary())], ["id", "set"])
-
-    sets = stored(rows.join(stored(wanted, "wanted"), "id", "left_semi").mapInArrow(whole, "id bigint, set binary").filter(F.length("set") > 0).distinct(), "sets")
+    found = Candidates(prof, num, den)
+    usable = rows.filter("id is not null and text is not null").withColumn("h", F.xxhash64("id"))
+
+    def checked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs that share a prefix token in each further order too, and the whole sets of their documents."""
+        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+        wanted = docs.sparkSession.sparkContext.broadcast(bitmap.build(ids.select(F.xxhash64("id")), ids.count(), 256))
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in by_bytes((x.filter(pa.array(bitmap.contains(wanted.value, x.column(2).to_numpy()))) for x in batches), "text"):
+                sets = shingle_sets(b.column(1), words, lower)
+                prefixes = [[prefix_of(s, order_keys(s, *frequent.value, k), num, den).view(np.int64).tolist() for k in range(1, orders)] if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(prefixes, pa.list_(pa.list_(pa.int64())))], ["id", "set", "prefixes"])
+
+        sets = usable.mapInArrow(whole, "id bigint, set binary, prefixes array<array<bigint>>").filter(F.length("set") > 0)
+        sets = stored(sets.join(ids, "id", "left_semi"), "sets")
+        p = sets.select("id", "prefixes")
+        both = pairs.join(p.toDF("a", "pa"), "a").join(p.toDF("b", "pb"), "b")
+        for k in range(orders - 1):
+            both = both.filter(F.arrays_overlap(F.col("pa")[k], F.col("pb")[k]))
+        return stored(both.select("a", "b").distinct(), "pairs"), sets.select("id", "set")
+
+    pairs, sets = checked(found.pairs())
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     star = both.groupBy("a").agg(F.min("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = _linked(star, sets, num, den)
-    now = stored(components(found), "components")
+    now = stored(components(_linked(star, sets, num, den)), "components")
     apart = pairs.join(now.toDF("a", "ca"), "a", "left").join(now.toDF("b", "cb"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = _linked(apart, sets, num, den)
+    links = now.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_linked(apart, sets, num, den))
+    if not found.count.filter(F.col("m") > MANY).isEmpty():
+        more = found.pairs(stored(components(links), "components"))
+        if not more.isEmpty():
+            links = links.unionByName(_linked(*checked(more), num, den))
     same = prof.filter("id is not null and n > 0").join(copies, ["d1", "d2"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     # a copy's id links to its least id; only ids that carry several texts make that more than a star
-    final = stored(components(now.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(same)), "components")
+    final = stored(components(links.unionByName(same)), "components")
     out = prof.select("id", "n").join(final.withColumnRenamed("node", "id"), "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
