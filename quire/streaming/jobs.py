@@ -88,3 +88,8 @@ def upsert_latest(events: DataFrame, path: str, key: str = "id"):
         old.unionByName(df).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r").write.mode("overwrite").parquet(f"{path}/v{epoch}")
 
     return events.writeStream.outputMode("append").foreachBatch(batch)
+
+
+def stream_states(events: DataFrame, created: str = "created", state: str = "status", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Jobs by state in windows of event time; rows later than the watermark are dropped."""
+    return events.withColumn(created, F.col(created).cast("timestamp")).withWatermark(created, late).groupBy(F.window(created, width).alias("w"), state).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), state, "n")

@@ -28,3 +28,15 @@ def test_upsert_latest(spark, tmp_path):
     q.awaitTermination(120)
     newest = sorted(p.name for p in (tmp_path / "out").iterdir())[-1]
     assert {r.id: r.status for r in spark.read.parquet(f"{tmp_path}/out/{newest}").collect()} == {1: "done", 2: "queued"}
+
+
+def test_stream_states(spark, tmp_path):
+    t = datetime.datetime(2024, 1, 1)
+    spark.createDataFrame([("a", t), ("a", t + datetime.timedelta(minutes=30)), ("b", t + datetime.timedelta(hours=1)), ("b", t + datetime.timedelta(hours=9))], "status string, created timestamp").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("status string, created timestamp").parquet(f"{tmp_path}/in")
+    q = ST.stream_states(stream).writeStream.format("memory").queryName("states").outputMode("complete").start()
+    try:
+        q.processAllAvailable()
+        assert sorted((r.status, r.n) for r in spark.table("states").collect()) == [("a", 2), ("b", 1), ("b", 1)]
+    finally:
+        q.stop()
