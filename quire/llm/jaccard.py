@@ -2,7 +2,8 @@
 
 Filters, all exact: with the tokens of every set in one global order, two sets over the threshold share
 a token among the first few of each; this holds in every order, so candidates must share such a prefix
-token in several. Orders put frequent tokens last (their classes come from counts over all documents)
+token in several. Linked sets have sizes near each other: a prefix token counts together with a class of
+sizes, and each set stands in its own class and, as a low one, in the next. Orders put frequent tokens last (their classes come from counts over all documents)
 and differ in the hash that orders a class. A parity bitmap bounds the difference of two sets from
 below. What is left is verified on whole sets: first a star of links for each document, then only the
 candidates whose ends are still apart. A prefix token of many documents is gone through twice: at first
@@ -26,10 +27,11 @@ from quire.llm.wordhash import mix, shingle_sets
 
 ORDERS = 3
 #: Tokens that a task counts at a time, and the least count there and in all that makes a token frequent.
-COUNT_AT_ONCE, TASK_COUNT, TOTAL_COUNT = 1 << 22, 3, 8
+COUNT_AT_ONCE, TASK_COUNT, TOTAL_COUNT = 1 << 20, 2, 8
 #: The most tokens in the broadcast table of frequent ones (9 bytes each); beyond it the least frequent count as rare, which only costs time.
 FREQUENT_MAX = 1 << 20
-BITS = 1024
+#: Bits of a set's parity bitmap, and of its folded form that travels with every prefix token.
+BITS, FOLDED = 1024, 256
 #: Rows of one block of a prefix token; more are split into blocks, and each pair of blocks is its own key.
 BLOCK = 512
 #: A prefix token of more rows than this is one of many documents.
@@ -121,36 +123,59 @@ def profiles(docs: DataFrame, frequent, words: int, lower: bool, num: int, den:
     return stored(docs.mapInArrow(run, "id bigint, n bigint, d1 bigint, d2 bigint, bitmap binary, prefix binary"), "profiles")
 
 
-def shared_prefix_tokens(prof: DataFrame) -> np.ndarray:
-    """A bitmap of the prefix tokens that two different sets hold. Tokens travel packed with 4 bytes of their set's digest."""
+def size_bounds(num: int, den: int) -> np.ndarray:
+    """Least size of each class: sets at num/den or more are in one class or in neighbouring ones."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(out[-1] * den // num + 1)
+    return np.array(out, dtype=np.int64)
+
+
+def class_keys(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The key of each token within a class of sizes."""
+    return mix(tokens + (classes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def shared_prefix_tokens(prof: DataFrame, bounds: np.ndarray) -> np.ndarray:
+    """A bitmap of the keys of prefix tokens that two different sets hold. Keys travel packed with 4 bytes of their set's digest."""
     total = prof.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    r = int(np.clip(np.ceil(np.log2(max(1, total / 8 / ROWS_PER_BUCKET))), 4, 16))
-    kind = np.dtype([("tok", "<u8"), ("set", "<u4")])
+    r = int(np.clip(np.ceil(np.log2(max(1, total / 4 / ROWS_PER_BUCKET))), 4, 16))
+    kind = np.dtype([("key", "<u8"), ("set", "<u4")])
+
+    def tidy(key: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted by key, then set; each once."""
+        o = np.lexsort((of, key))
+        key, of = key[o], of[o]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]) if len(key) else np.zeros(0, dtype=bool)
+        return key[new], of[new]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = b.column(1).to_pylist()
+            raw = b.column(2).to_pylist()
             size = np.array([len(x) // 8 for x in raw], dtype=np.int64)
-            rows = np.zeros(int(size.sum()), dtype=kind)
-            rows["tok"] = mix(np.frombuffer(b"".join(raw), dtype=np.uint64))
-            rows["set"] = np.repeat(b.column(0).to_numpy().view(np.uint64), size) & np.uint64(0xFFFFFFFF)
-            rows = np.unique(rows)  # copies in one task count once
-            cut = np.searchsorted(rows["tok"] >> np.uint64(64 - r), np.arange((1 << r) + 1, dtype=np.uint64))
+            tok, of = np.frombuffer(b"".join(raw), dtype=np.uint64), np.repeat(b.column(1).to_numpy().view(np.uint64), size).astype(np.uint32)
+            cls = np.repeat(np.searchsorted(bounds, b.column(0).to_numpy(), side="right"), size)
+            key, of = tidy(np.concatenate([class_keys(tok, cls), class_keys(tok, cls + 1)]), np.concatenate([of, of]))
+            rows = np.empty(len(key), dtype=kind)
+            rows["key"], rows["set"] = key, of
+            cut = np.searchsorted(key >> np.uint64(64 - r), np.arange((1 << r) + 1, dtype=np.uint64))
             some = np.flatnonzero(np.diff(cut))
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], ["bucket", "rows"])
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
-        rows = np.unique(np.concatenate([np.frombuffer(x, dtype=kind) for x in part["rows"]]))
-        tok = rows["tok"]
-        return pd.DataFrame({"h": np.unique(tok[1:][tok[1:] == tok[:-1]]).view(np.int64)})
+        rows = np.concatenate([np.frombuffer(x, dtype=kind) for x in part["rows"]])
+        key, _ = tidy(rows["key"], rows["set"])
+        return pd.DataFrame({"h": np.unique(key[1:][key[1:] == key[:-1]]).view(np.int64)})
 
-    packed = prof.filter("id is not null and n > 0").select("d1", "prefix").mapInArrow(pack, "bucket int, rows binary")
+    packed = prof.filter("id is not null and n > 0").select("n", "d1", "prefix").mapInArrow(pack, "bucket int, rows binary")
     both = stored(packed.groupBy("bucket").applyInPandas(join, "h bigint"), "shared-tokens")
-    return bitmap.build(both, both.count())
+    return bitmap.build(both, both.count(), 128)
 
 
 def _pairs_in_runs(num: int, den: int, star: bool):
-    """mapInArrow over rows sorted by (tok, bi, bj, n, id): pairs of each run that pass size, bitmap and first-token tests.
+    """mapInArrow over rows sorted by (key, bi, bj, n, id): pairs of each run that pass size, bitmap and first-token tests.
+
+    Two low rows don't pair: they meet in their own class.
 
     star: in runs of tokens of many documents a row takes its first partner only. Otherwise the rows bear
     components, and pairs of one component are passed over.
@@ -163,6 +188,7 @@ def _pairs_in_runs(num: int, den: int, star: bool):
         n = np.array([r[5] for r in rows])
         block = np.array([r[4] for r in rows])
         group = np.array([r[9] for r in rows])
+        low = np.array([r[10] for r in rows])
         cross, one = rows[0][1] != rows[0][2], star and rows[0][3]
         maps = np.frombuffer(b"".join(r[7] for r in rows), dtype=np.uint64).reshape(len(rows), -1)
         before: dict[int, frozenset] = {}
@@ -174,6 +200,8 @@ def _pairs_in_runs(num: int, den: int, star: bool):
             differ = np.bitwise_count(maps[i + 1 : e] ^ maps[i]).sum(axis=1, dtype=np.int64)
             both = n[i + 1 : e] + n[i]
             ok = differ <= both - 2 * -(-num * both // (num + den))
+            if low[i]:
+                ok &= ~low[i + 1 : e]
             if cross:
                 ok &= block[i + 1 : e] != block[i]
             if not star:
@@ -195,7 +223,7 @@ def _pairs_in_runs(num: int, den: int, star: bool):
         a: list[int] = []
         b: list[int] = []
         for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
+            for r in zip(*(batch.column(i).to_pylist() for i in range(11)), strict=True):
                 if r[:3] != key:
                     close(rows, a, b)
                     key, rows = r[:3], []
@@ -211,41 +239,43 @@ def _pairs_in_runs(num: int, den: int, star: bool):
 
 
 class Candidates:
-    """Documents that share prefix tokens, behind the least id of their equal sets, and the pairs among them."""
+    """Documents that share keys of prefix tokens, behind the least id of their equal sets, and the pairs among them."""
 
     def __init__(self, prof: DataFrame, num: int, den: int):
         self.num, self.den, self.spark = num, den, prof.sparkSession
-        shared = self.spark.sparkContext.broadcast(shared_prefix_tokens(prof))
+        bounds = size_bounds(num, den)
+        shared = self.spark.sparkContext.broadcast(shared_prefix_tokens(prof, bounds))
 
-        def own_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def own_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                keep, toks = [], []
-                for raw in b.column(5).to_pylist():
+                keep, high, low = [], [], []
+                for raw, n in zip(b.column(5).to_pylist(), b.column(1).to_pylist(), strict=True):
                     t = np.frombuffer(raw, dtype=np.uint64)
-                    t = t[bitmap.contains(shared.value, mix(t))]
-                    keep.append(len(t) > 0)
-                    toks.append(t.view(np.int64))
+                    cls = np.full(len(t), np.searchsorted(bounds, n, side="right"))
+                    lists = [k[bitmap.contains(shared.value, k)].view(np.int64) for k in (class_keys(t, cls), class_keys(t, cls + 1))]
+                    keep.append(len(lists[0]) + len(lists[1]) > 0)
+                    high.append(lists[0].tolist())
+                    low.append(lists[1].tolist())
                 mask = pa.array(keep, pa.bool_())
-                cut = np.concatenate([[0], np.cumsum([len(t) for t in toks])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([*toks, np.zeros(0, np.int64)])))
-                yield pa.RecordBatch.from_arrays([*(b.column(i).filter(mask) for i in range(5)), lists.filter(mask)], ["id", "n", "d1", "d2", "bitmap", "toks"])
+                kind = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(i).filter(mask) for i in range(5)), pa.array(high, kind).filter(mask), pa.array(low, kind).filter(mask)], ["id", "n", "d1", "d2", "bitmap", "high", "low"])
 
         named = prof.filter("id is not null and n > 0").select("id", "n", "d1", "d2", "bitmap", "prefix")
-        some = named.mapInArrow(own_tokens, "id bigint, n bigint, d1 bigint, d2 bigint, bitmap binary, toks array<bigint>")
-        reps = some.groupBy("d1", "d2").agg(F.min_by(F.struct("id", "n", "bitmap", "toks"), "id").alias("r"))
+        some = named.mapInArrow(own_keys, "id bigint, n bigint, d1 bigint, d2 bigint, bitmap binary, high array<bigint>, low array<bigint>")
+        reps = some.groupBy("d1", "d2").agg(F.min_by(F.struct("id", "n", "bitmap", "high", "low"), "id").alias("r"))
         self.reps = stored(reps.select("r.*"), "representatives")
-        count = self.reps.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("m")).filter("m > 1")
-        self.count = stored(count, "prefix-tokens")
+        rows = self.reps.select(F.explode("high").alias("key"), F.lit(1).alias("h")).unionByName(self.reps.select(F.explode("low").alias("key"), F.lit(0).alias("h")))
+        self.count = stored(rows.groupBy("key").agg(F.count("*").alias("m"), F.max("h").alias("h")).filter("m > 1 and h > 0").select("key", "m"), "prefix-keys")
 
     def pairs(self, groups: DataFrame | None = None) -> DataFrame:
-        """Pairs a < b. groups (node, component): only pairs apart, at tokens of many documents; else one partner for each document there, and all pairs elsewhere."""
+        """Pairs a < b. groups (node, component): only pairs apart, at keys of many documents; else one partner for each document there, and all pairs elsewhere."""
         count = self.count if groups is None else self.count.filter(F.col("m") > MANY)
-        rows = self.reps.select("id", F.explode("toks").alias("tok")).join(count, "tok")
-        mine = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("tok", "m"))).alias("m"))
+        rows = self.reps.select("id", F.explode(F.concat("high", "low")).alias("key")).join(count, "key")
+        mine = rows.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("key", "m"))).alias("m"))
         wide = self.reps.join(mine, "id")
         wide = wide.withColumn("component", F.lit(0).cast("bigint")) if groups is None else wide.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
-        names = ["tok", "bi", "bj", "many", "own", "n", "id", "bitmap", "before", "component"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_()]
+        names = ["key", "bi", "bj", "many", "own", "n", "id", "bitmap", "before", "component", "low"]
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def flush() -> pa.RecordBatch:
@@ -253,48 +283,48 @@ class Candidates:
 
             for b in batches:
                 out: list[list] = [[] for _ in kinds]
-                for doc, n, bits, toks, m, comp in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                for doc, n, bits, high, low, m, comp in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                     m = dict(m)
-                    all_before = np.array(toks, dtype=np.int64)
-                    for k, tok in enumerate(toks):
-                        if tok not in m:
-                            continue
-                        before = all_before[:k].tobytes()
-                        blocks = max(1, -(-m[tok] // BLOCK))
-                        own = int(mix(np.array([doc], dtype=np.int64).view(np.uint64))[0] % np.uint64(blocks))
-                        for other in range(blocks):
-                            for col, v in zip(out, (tok, min(own, other), max(own, other), m[tok] > MANY, own, n, doc, bits, before, comp), strict=True):
-                                col.append(v)
+                    bits = np.bitwise_xor.reduce(np.frombuffer(bits, dtype=np.uint64).reshape(BITS // FOLDED, -1), axis=0).tobytes()
+                    for is_low, keys in ((False, high), (True, low)):
+                        keys = [k for k in keys if k in m]
+                        packed = np.array(keys, dtype=np.int64)
+                        for at, key in enumerate(keys):
+                            blocks = max(1, -(-m[key] // BLOCK))
+                            own = int(mix(np.array([doc], dtype=np.int64).view(np.uint64))[0] % np.uint64(blocks)) if blocks > 1 else 0
+                            before = packed[:at].tobytes()
+                            for other in range(blocks):
+                                for col, v in zip(out, (key, min(own, other), max(own, other), m[key] > MANY, own, n, doc, bits, before, comp, is_low), strict=True):
+                                    col.append(v)
                     if len(out[0]) >= 4096:
                         yield flush()
                         out = [[] for _ in kinds]
                 if out[0]:
                     yield flush()
 
-        keyed = wide.select("id", "n", "bitmap", "toks", "m", "component").mapInArrow(spread, "tok bigint, bi int, bj int, many boolean, own int, n bigint, id bigint, bitmap binary, before binary, component bigint")
+        keyed = wide.select("id", "n", "bitmap", "high", "low", "m", "component").mapInArrow(spread, "key bigint, bi int, bj int, many boolean, own int, n bigint, id bigint, bitmap binary, before binary, component bigint, low boolean")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        runs = keyed.repartition(parts, "tok", "bi", "bj").sortWithinPartitions("tok", "bi", "bj", "n", "id")
-        return stored(runs.mapInArrow(_pairs_in_runs(self.num, self.den, groups is None), "a bigint, b bigint").distinct(), "pairs")
+        runs = keyed.repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "n", "id")
+        pairs = stored(runs.mapInArrow(_pairs_in_runs(self.num, self.den, groups is None), "a bigint, b bigint").distinct(), "pairs")
+        num, den = self.num, self.den
 
+        def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for i in (2, 3))
+                both = b.column(4).to_numpy()
+                ok = pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= both - 2 * -(-num * both // (num + den)))
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose whole sets reach the threshold."""
+        own = self.reps.select("id", "bitmap", "n")
+        both = pairs.join(own.toDF("a", "xa", "na"), "a").join(own.toDF("b", "xb", "nb"), "b").select("a", "b", "xa", "xb", (F.col("na") + F.col("nb")).alias("n"))
+        return stored(both.mapInArrow(close, "a bigint, b bigint").distinct(), "pairs")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
 
-    wide = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return stored(wide.mapInArrow(run, "a bigint, b bigint"), "links")
+def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose whole sets (id, set array<bigint>) reach the threshold."""
+    wide = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return stored(wide.filter(den * both >= num * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, lower: bool = True, orders: int = ORDERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,9 +352,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
             for b in by_bytes((x.filter(pa.array(bitmap.contains(wanted.value, x.column(2).to_numpy()))) for x in batches), "text"):
                 sets = shingle_sets(b.column(1), words, lower)
                 prefixes = [[prefix_of(s, order_keys(s, *frequent.value, k), num, den).view(np.int64).tolist() for k in range(1, orders)] if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(prefixes, pa.list_(pa.list_(pa.int64())))], ["id", "set", "prefixes"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.list_(pa.int64())))], ["id", "set", "prefixes"])
 
-        sets = usable.mapInArrow(whole, "id bigint, set binary, prefixes array<array<bigint>>").filter(F.length("set") > 0)
+        sets = usable.mapInArrow(whole, "id bigint, set array<bigint>, prefixes array<array<bigint>>").filter(F.size("set") > 0)
         sets = stored(sets.join(ids, "id", "left_semi"), "sets")
         p = sets.select("id", "prefixes")
         both = pairs.join(p.toDF("a", "pa"), "a").join(p.toDF("b", "pb"), "b")
