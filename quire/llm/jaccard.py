@@ -27,7 +27,7 @@ from quire.llm.wordhash import mix, shingle_sets
 
 ORDERS = 3
 #: Tokens that a task counts at a time, and the least count there and in all that makes a token frequent.
-COUNT_AT_ONCE, TASK_COUNT, TOTAL_COUNT = 1 << 20, 2, 8
+COUNT_AT_ONCE, TASK_COUNT, TOTAL_COUNT = 1 << 21, 2, 4
 #: The most tokens in the broadcast table of frequent ones (9 bytes each); beyond it the least frequent count as rare, which only costs time.
 FREQUENT_MAX = 1 << 20
 #: Bits of a set's parity bitmap, and of its folded form that travels with every prefix token.
@@ -63,7 +63,7 @@ def frequent_tokens(docs: DataFrame, words: int, lower: bool) -> tuple[np.ndarra
             yield flush()
 
     counted = docs.mapInArrow(run, "tok bigint, n bigint").groupBy("tok").agg(F.sum("n").alias("n")).filter(F.col("n") >= TOTAL_COUNT)
-    counted = stored(counted.select("tok", F.least(F.floor(F.log2("n")) - 2, F.lit(31)).cast("tinyint").alias("cls")), "frequent")
+    counted = stored(counted.select("tok", F.least(F.floor(F.log2("n")) - 1, F.lit(31)).cast("tinyint").alias("cls")), "frequent")
     sizes = sorted(((r.cls, r["count"]) for r in counted.groupBy("cls").count().collect()), reverse=True)
     least, total = 32, 0
     for c, n in sizes:
@@ -173,12 +173,12 @@ def shared_prefix_tokens(prof: DataFrame, bounds: np.ndarray) -> np.ndarray:
 
 
 def _pairs_in_runs(num: int, den: int, star: bool):
-    """mapInArrow over rows sorted by (key, bi, bj, n, id): pairs of each run that pass size, bitmap and first-token tests.
+    """mapInArrow over rows sorted by (key, bi, bj, n, id): pairs of each run that pass the tests of size and bitmap.
 
     Two low rows don't pair: they meet in their own class.
 
-    star: in runs of tokens of many documents a row takes its first partner only. Otherwise the rows bear
-    components, and pairs of one component are passed over.
+    star: in runs of keys of many documents a row takes its first partner only. Otherwise the rows bear
+    components and the keys before, and a pair of two components is made at its first common key.
     """
 
     def close(rows: list[tuple], out_a: list[int], out_b: list[int]) -> None:
@@ -209,10 +209,10 @@ def _pairs_in_runs(num: int, den: int, star: bool):
             for j in (np.flatnonzero(ok) + i + 1).tolist():
                 if ids[i] == ids[j]:
                     continue
-                for k in (i, j):
+                for k in () if star else (i, j):
                     if k not in before:
                         before[k] = frozenset(np.frombuffer(rows[k][8], dtype=np.int64).tolist())
-                if one or before[i].isdisjoint(before[j]):
+                if star or before[i].isdisjoint(before[j]):
                     out_a.append(min(ids[i], ids[j]))
                     out_b.append(max(ids[i], ids[j]))
                     if one:
@@ -274,6 +274,7 @@ class Candidates:
         mine = rows.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("key", "m"))).alias("m"))
         wide = self.reps.join(mine, "id")
         wide = wide.withColumn("component", F.lit(0).cast("bigint")) if groups is None else wide.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        apart = groups is not None  # a pair is then made at its first common key only
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_()]
         names = ["key", "bi", "bj", "many", "own", "n", "id", "bitmap", "before", "component", "low"]
 
@@ -292,7 +293,7 @@ class Candidates:
                         for at, key in enumerate(keys):
                             blocks = max(1, -(-m[key] // BLOCK))
                             own = int(mix(np.array([doc], dtype=np.int64).view(np.uint64))[0] % np.uint64(blocks)) if blocks > 1 else 0
-                            before = packed[:at].tobytes()
+                            before = packed[:at].tobytes() if apart else b""
                             for other in range(blocks):
                                 for col, v in zip(out, (key, min(own, other), max(own, other), m[key] > MANY, own, n, doc, bits, before, comp, is_low), strict=True):
                                     col.append(v)
