@@ -205,30 +205,49 @@ def sandwiched(ops: DataFrame, keys: list[str], order: str, longest: int = 12) -
     return rows.withColumn("dropped", F.col("dropped") | hit).drop("_frag", "_solid", "_run")
 
 
+def _merged(boxes: list[tuple[float, float, float, float]], reach: float) -> list[list[float]]:
+    """x0, top, x1, bottom, n of the boxes that are left when those within reach of each other have merged."""
+    got: list[list[float]] = []
+    for b in sorted(boxes, key=lambda b: (b[1], b[0], b[2], b[3])):
+        new = [*b, 1]
+        near = True
+        while near:
+            near = [g for g in got if new[0] <= g[2] + reach and g[0] <= new[2] + reach and new[1] <= g[3] + reach and g[1] <= new[3] + reach]
+            for g in near:
+                new = [min(new[0], g[0]), min(new[1], g[1]), max(new[2], g[2]), max(new[3], g[3]), new[4] + g[4]]
+                got.remove(g)
+        got.append(new)
+    return got
+
+
 def merge_boxes(boxes: DataFrame, keys: list[str], reach: float = 12.0) -> DataFrame:
-    """Boxes within `reach` of a growing box merge, until none does; keys, x0, top, x1, bottom, n."""
+    """Boxes within `reach` of a growing box merge, until none does; keys, x0, top, x1, bottom, n.
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        got: list[list[float]] = []
-        for b in part.sort_values(["top", "x0", "x1", "bottom"])[["x0", "top", "x1", "bottom"]].to_numpy().tolist():
-            new = [*b, 1]
-            moved = True
-            while moved:
-                moved = False
-                for g in got:
-                    if new[0] <= g[2] + reach and g[0] <= new[2] + reach and new[1] <= g[3] + reach and g[1] <= new[3] + reach:
-                        new = [min(new[0], g[0]), min(new[1], g[1]), max(new[2], g[2]), max(new[3], g[3]), new[4] + g[4]]
-                        got.remove(g)
-                        moved = True
-                        break
-            got.append(new)
-        out = pd.DataFrame(got, columns=["x0", "top", "x1", "bottom", "n"])
-        for k in reversed(keys):
-            out.insert(0, k, part[k].iloc[0])
-        return out
+    Rows come sorted by key and stream through a task, so that small pages cost no call each.
+    """
+    size = len(keys)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key: tuple | None = None
+        held: list[tuple] = []
+
+        def close() -> list[tuple]:
+            return [(*key, *m) for m in _merged(held, reach)] if held else []
+
+        for f in frames:
+            out: list[tuple] = []
+            for r in f.itertuples(index=False, name=None):
+                if r[:size] != key:
+                    out += close()
+                    key, held = r[:size], []
+                held.append(r[size:])
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(close(), columns=names)
 
     kinds = dict(boxes.dtypes)
-    return boxes.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "x0 double, top double, x1 double, bottom double, n bigint"]))
+    names = [*keys, "x0", "top", "x1", "bottom", "n"]
+    rows = boxes.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("x0", "top", "x1", "bottom")]).repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "x0 double, top double, x1 double, bottom double, n bigint"]))
 
 
 def dedupe_chars(chars: DataFrame, keys: list[str], bucket: float = 3.0) -> DataFrame:
