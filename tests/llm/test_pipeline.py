@@ -1,6 +1,12 @@
+import numpy as np
+from test_decontam import brute as leaks
+from test_jaccard import brute as components
+
 import corpus_pipeline
 from quire.llm import stages
 from quire.llm.jaccard import jaccard_components
+from quire.llm.secrets import redact
+from quire.llm.tokens import CachedTokenizer, tokenizer_path
 
 
 def test_stages_keep_columns_and_clean_rows(spark, odd, none, write):
@@ -34,3 +40,21 @@ def test_run_packs_every_kept_document(spark, sf_dir):
     ids = {r.doc_id for r in rows}
     assert ids <= groups and len(ids) > 0.8 * len(groups)
     assert all(r.offset + r.length <= 2048 for r in rows)
+
+
+def test_run_equals_brute_force(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    docs = {i: t for i, t in docs.items() if any(c.isalpha() for c in t or "")}
+    docs = {i: docs[i] for i, _, c in components(sorted(docs.items()), 5, 8, 10) if c == i}
+    gone = {x[0] for x in leaks(sorted(docs.items()), items)}
+    tok = CachedTokenizer(tokenizer_path("word_bpe_49k.json"))
+    want = {i: len(tok.encode_all([redact(t)])[0]) // 4 + 1 for i, t in docs.items() if i not in gone}
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r.doc_id: r.doc_tokens for r in rows} == want
+    got = dict.fromkeys(want, 0)
+    for r in rows:
+        got[r.doc_id] += r.length
+    assert got == want and gone
+    ends = np.array([r.offset + r.length for r in rows])
+    assert ends.max() <= 2048
