@@ -21,7 +21,7 @@ _SPLIT[:128] |= [not chr(c).isalnum() for c in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes whose running sums are held at a time; a longer word is taken alone.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 _POW = _INV = np.ones(1, dtype=np.uint64)
 
 
