@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm._shared import by_bytes, table
-from quire.llm.tokens import loaded, tokenizer_path
+from quire.llm.tokens import CACHE_WORDS, loaded, tokenizer_path
 
 CAPACITY = 2048
 #: A rest longer than this is cut: small pieces difference to nearly equal windows.
 PIECE = 512
 #: Documents whose pieces are packed together, about.
 GROUP_DOCS = 800
+#: Words that a worker holds where it doesn't keep them.
+FEW_WORDS = 150_000
 #: Sequence ids of a group start at its number times this.
 GROUP_SPAN = 1 << 22
 
@@ -85,11 +87,15 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         m += max(1, m // 256)
 
 
-def pieces_of(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, start, length, ids_crc32, doc_tokens of each piece; whole texts (null: empty) with end_id behind them."""
+def pieces_of(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text", keep_words: bool = True) -> DataFrame:
+    """id, start, length, ids_crc32, doc_tokens of each piece; whole texts (null: empty) with end_id behind them.
+
+    keep_words: a worker keeps many words that it has learned, for its next task too; else few, and none after a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = loaded(path)
+        tok.most = CACHE_WORDS if keep_words else FEW_WORDS
         last = np.array([end_id], dtype="<u4").tobytes()
         for b in by_bytes(batches, "text"):
             ids, rows = b.column(0).to_pylist(), []
@@ -99,12 +105,14 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY,
                 rows += [(doc, a, k, zlib.crc32(raw[4 * a : 4 * (a + k)]), n) for a, k in cut_document(n, capacity, piece)]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), *(pa.array(c, pa.int64()) for c in cols[1:])], ["id", "start", "length", "ids_crc32", "doc_tokens"])
+        if not keep_words:
+            tok.memo.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint").withColumnRenamed("id", id_col)
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, piece: int = PIECE, group_docs: int = GROUP_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, piece: int = PIECE, group_docs: int = GROUP_DOCS, id_col: str = "doc_id", text_col: str = "text", keep_words: bool = True) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Pieces are dealt evenly to groups by a hash of their place in the scan, so repeated rows spread too;
@@ -114,7 +122,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, capacity: int = CAPA
     gives an empty one.
     """
     groups = max(1, -(-docs.count() // group_docs))
-    rows = pieces_of(docs, path, end_id, capacity, piece, id_col, text_col).withColumnRenamed(id_col, "id")
+    rows = pieces_of(docs, path, end_id, capacity, piece, id_col, text_col, keep_words).withColumnRenamed(id_col, "id")
     rows = rows.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -83,5 +83,5 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 2,048 tokens."""
-    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), 1)
+    """Pack what is left into sequences of 2,048 tokens. Workers forget their words after each task: other stages need the memory."""
+    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), 1, keep_words=False)

@@ -74,6 +74,7 @@ class CachedTokenizer:
         self.marks = {c: self._pack(self._ids("a" + c)[len(self._ids("a")) :]) for c in ".,;:!?)"}
         self.lead = chr(self.byte_chars[32]) if self.spaced else ""
         self.feed = self._pack(self._ids("\n")) if self.spaced else b""
+        self.most = CACHE_WORDS
         self.memo = Memory(self)
 
     def _ids(self, text: str) -> list[int]:
@@ -117,7 +118,7 @@ class CachedTokenizer:
             elif self._uneven(t):
                 out.append(self._pack(self._ids(t)))
             else:
-                if len(self.memo) > CACHE_WORDS:
+                if len(self.memo) > self.most:
                     self.memo.clear()
                 get = self.memo.__getitem__
                 if self.spaced:
