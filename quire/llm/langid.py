@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,6 +29,8 @@ ORDERS = (5, 4, 3, 2, 1)
 #: A word that the sample holds fewer times counts as unseen.
 MIN_WORD, MIN_GRAM = 2, 2
 UNKNOWN = "und"
+#: Scores of unseen words that one worker remembers; the memory is emptied when full.
+MEMO_WORDS = 40_000
 
 
 def tokens(text: str | None) -> list[str]:
@@ -52,13 +55,13 @@ class LanguageModel:
         langs = sorted({lang for lang, _ in counts})
         place = {lang: i for i, lang in enumerate(langs)}
         total: Counter[str] = Counter()
-        gram_total: Counter[tuple[int, str]] = Counter()
+        by_lang: list[Counter[str]] = [Counter() for _ in langs]  # of n-grams
         for (lang, word), n in counts.items():
             total[word] += n
-            marked = f"^{word}$"
+            own, marked = by_lang[place[lang]], f"^{word}$"
             for k in ORDERS:
                 for i in range(len(marked) - k + 1):
-                    gram_total[place[lang], marked[i : i + k]] += n
+                    own[marked[i : i + k]] += n
 
         def logs(keys: dict[str, int], rows: Iterator[tuple[int, str, int]], by_length: bool) -> np.ndarray:
             c = np.zeros((len(keys), len(langs)), dtype=np.float64)
@@ -73,11 +76,12 @@ class LanguageModel:
             return out.astype(np.float32)
 
         words = {w: i for i, w in enumerate(sorted(w for w, n in total.items() if n >= MIN_WORD))}
-        both: Counter[str] = Counter()
-        for (_, g), n in gram_total.items():
-            both[g] += n
-        grams = {g: i for i, g in enumerate(sorted(g for g, n in both.items() if n >= MIN_GRAM))}
-        return cls(langs, words, logs(words, ((place[a], w, n) for (a, w), n in counts.items()), False), grams, logs(grams, ((a, g, n) for (a, g), n in gram_total.items()), True))
+        often: Counter[str] = Counter()
+        for own in by_lang:
+            often.update(own)
+        grams = {g: i for i, g in enumerate(sorted(g for g, n in often.items() if n >= MIN_GRAM))}
+        del often
+        return cls(langs, words, logs(words, ((place[a], w, n) for (a, w), n in counts.items()), False), grams, logs(grams, ((a, g, n) for a, own in enumerate(by_lang) for g, n in own.items()), True))
 
     def unseen(self, word: str) -> np.ndarray:
         """Scores of a word that isn't known: the mean over the n-grams that cover it; zeros without any."""
@@ -94,7 +98,7 @@ class LanguageModel:
                 else:
                     at += 1
             got = self.gram_logp[found].sum(axis=0) if found else np.zeros(len(self.langs), dtype=np.float32)
-            if len(self.memo) >= 100_000:
+            if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()
             self.memo[word] = got
         return got
@@ -152,8 +156,9 @@ def labelled_sample(docs: DataFrame, per_class: int, class_col: str, id_col: str
 def fit_language_model(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learn from about per_lang documents of each language (that bound is the only limit); rows without language or text teach nothing."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).filter("lang is not null and text is not null and doc_id is not null")
-    counts = word_counts(labelled_sample(rows, per_lang, "lang")).toPandas()
-    return LanguageModel.fit(dict(zip(zip(counts["lang"], counts["word"], strict=True), counts["n"].tolist(), strict=True)))
+    got = word_counts(labelled_sample(rows, per_lang, "lang"))
+    counts = got.toPandas()
+    return LanguageModel.fit({(sys.intern(a), w): n for a, w, n in zip(counts.pop("lang"), counts.pop("word"), counts.pop("n").tolist(), strict=True)})
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
