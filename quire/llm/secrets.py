@@ -25,8 +25,11 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # the runs [0-9a-f]+ of 16 and more
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Contexts whose value is judged by its guess cost; wider than the base pattern.
-CONTEXT = re.compile(r"""\b(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credentials?|private[_-]?key)["']?\x20*(?:[:=]|\bis\b)\x20*["']?([^\s"',;<>]+)""", re.I | re.A)
+#: Contexts whose value is judged by its guess cost; wider than the base pattern. A keyword may end or begin a longer name
+#: (DB_PASSWORD, clientSecret, secret_key), and a scheme may stand between it and its value or be the keyword itself.
+CONTEXT = re.compile(r"""(?:(?:password|passwd|passphrase|passcode|pwd|secret(?:[_-]?key)?|token|api[_-]?key|access[_-]?key|auth(?:orization)?|bearer|credentials?|private[_-]?key)(?:[_-][A-Za-z0-9_-]{0,128})?["']?\x20*(?:[:=]|\bis\b)\x20*["']?(?:(?:bearer|basic|token)\x20+)?|\bbearer\x20+)([^\s"',;<>]+)""", re.I | re.A)
+#: A value of at most so many characters may itself be the keyword of the next value ("bearer token: ...").
+MAX_NAME = 64
 HINT = re.compile(r"pass|pwd|secret|token|key|auth|bearer|credential", re.I | re.A)
 
 #: Values of at least this many characters and log2 guesses are reported.
@@ -103,7 +106,7 @@ def guess_bits(value: str) -> float:
 
 
 def find_spans(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in code points: the base kinds, then "guess" for costly values that no base span covers."""
+    """(start, end, kind) in code points: the base kinds, and "guess" for every costly value, also where a base span covers a part of it."""
     if not text:
         return []
     out = [(*m.span(), "hex") for m in HEX.finditer(text)]
@@ -111,11 +114,12 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
         out += [(*m.span(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     if HINT.search(text):
         out += [(*m.span(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN]
-        base = list(out)
-        for m in CONTEXT.finditer(text):
+        at = 0
+        while m := CONTEXT.search(text, at):
             a, b = m.span(1)
-            if b - a >= MIN_VALUE and not any(s < b and a < e for s, e, _ in base) and guess_bits(m[1]) >= MIN_BITS:
+            if b - a >= MIN_VALUE and guess_bits(m[1]) >= MIN_BITS:
                 out.append((a, b, "guess"))
+            at = a if b - a <= MAX_NAME else b
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -39,6 +40,21 @@ def test_context_values_are_added_only_if_costly():
     assert find_spans("a word aB3xK9pQ7z without context") == []
 
 
+@pytest.mark.parametrize("head", ["DB_PASSWORD=", "access_token: ", "client_secret = '", "auth_token=", "my_api_key: ", "clientSecret: ", "SECRET_KEY = ", "Authorization: Bearer ", "authorization: ", "bearer token: ", "Bearer ", "the secret is password: "])
+def test_keywords_inside_names_and_behind_schemes(head):
+    for value in ("Tr0ub&4dor!x9Q", "kZ9!pQ2#vL7$wX"):
+        text = f"a {head}{value} b"
+        at = text.index(value)
+        assert (at, at + len(value), "guess") in find_spans(text)
+        assert value not in redact(text)
+
+
+def test_values_longer_than_their_base_span_go_whole():
+    text = "password=Abcd9fGhijKl!mn0p$Qr end"
+    assert [s for s in find_spans(text) if s[2] == "guess"] == [(9, 29, "guess")]
+    assert redact(text) == "[SECRET] end"
+
+
 def test_redact():
     text = 'x token = "24be64439e3e49cf46b2d7c90f3602a3" y deadbeefdeadbeef z'
     assert redact(text) == 'x [SECRET]" y [SECRET] z'
