@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,7 +90,12 @@ def region_boxes(units: DataFrame, obstacles: DataFrame, page_bottom: float = 80
 def fit_size(text: str, size: float, width: float, height: float, floor: float = 4.5, step: float = 0.25, leading: float = 1.35) -> tuple[float, list[str]]:
     """The greatest size, in quarters from `size` down to the floor, whose lines fit; the floor's lines if none does."""
     s = round(size * 4) / 4
+    whole = sum(char_width(c, 1.0) for c in text if c != "\n")
     while s > floor:
+        # lines of at most `width` can't be fewer than this; a lane under two characters has wider lines
+        if width >= 2 * s and math.ceil(whole * s / width - 1e-9) * s * leading > height:
+            s -= step
+            continue
         lines = wrap(text, s, width)
         if len(lines) * s * leading <= height:
             return s, lines

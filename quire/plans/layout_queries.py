@@ -15,7 +15,7 @@ from quire.operators import quality as Q
 from quire.operators import sequence as S
 from quire.operators import stats as A
 from quire.plans.registry import query
-from quire.sources.views import V_RECT_SQL, table, v_job, v_rect
+from quire.sources.views import V_RECT_SQL, table, v_block, v_job, v_rect
 from quire.streaming import jobs as ST
 
 _HIT = "a.x0 < b.x1 - {p} AND b.x0 < a.x1 - {p} AND a.top < b.bottom - {p} AND b.top < a.bottom - {p}"
@@ -186,13 +186,13 @@ def lane_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("placed_lines")
 def placed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents' first lines placed in boxes; no unit is lost."""
-    docs = table(spark, sf_dir, "documents")
-    top = (F.col("doc_id") % 40 * 20).cast("double")
-    units = docs.select(F.col("source").alias("doc_id"), F.floor(F.col("doc_id") / 40).cast("int").alias("page"), F.col("doc_id").alias("uid"), F.lit(40.0).alias("x0"), F.lit(400.0).alias("x1"), top.alias("top"), (top + 12).alias("bottom"), F.lit(10.0).alias("size"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("target"))
+    """Every line of each document placed in a box of its own, forty to a page; no unit is lost, a line without text draws nothing."""
+    top = (F.col("ord") % 40 * 20).cast("double")
+    units = v_block(spark, sf_dir).select("doc_id", F.floor(F.col("ord") / 40).cast("int").alias("page"), F.col("ord").alias("uid"), F.lit(40.0).alias("x0"), F.lit(400.0).alias("x1"), top.alias("top"), (top + 12).alias("bottom"), F.lit(10.0).alias("size"), F.col("text").alias("target"))
     boxes = L.region_boxes(units, units.limit(0))
-    placed = L.place_units(boxes)
-    return placed.groupBy("doc_id", "uid").agg(F.count("*").alias("n_lines"), F.sum("nch").alias("drawn"), F.min("size").alias("size"))
+    placed = L.place_units(boxes).groupBy("doc_id", "uid").agg(F.count("*").alias("n_lines"), F.sum("nch").alias("drawn"), F.min("size").alias("size"))
+    none = F.lit(0).cast("bigint")
+    return units.select("doc_id", "uid").join(placed, ["doc_id", "uid"], "left").select("doc_id", "uid", F.coalesce("n_lines", none).alias("n_lines"), F.coalesce("drawn", none).alias("drawn"), "size")
 
 
 @query("reflowed_pages")

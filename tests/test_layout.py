@@ -7,6 +7,7 @@ from quire.operators import geometry_joins as J
 from quire.operators import layout as L
 from quire.operators import quality as Q
 from quire.operators import stats as A
+from quire.plans import layout_queries
 from quire.streaming import jobs as ST
 
 BOX = "page int, rid string, x0 double, top double, x1 double, bottom double"
@@ -89,3 +90,23 @@ def test_jobs(spark):
     assert [r.id for r in ST.recent_jobs(jobs, 2).collect()] == [3, 1]
     lines = spark.createDataFrame([(1, 1, "[producer] start"), (1, 2, "[editor] translated 2/4 units"), (1, 3, "noise")], "job int, ts int, line string")
     assert ST.progress(lines).first().done == 2
+
+
+def test_placed_lines_draw_every_line_of_every_document(spark, tmp_path):
+    texts = {1: "first line\nsecond line\n\nfourth line", 2: "\n".join(f"line {k} " + "word " * (k % 90) for k in range(95)), 3: None, 4: ""}
+    spark.createDataFrame([(i, t, "en", "a", 0) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.uid): r for r in layout_queries.placed_lines(spark, str(tmp_path)).collect()}
+    want = {(i, k): len(line) for i, t in texts.items() if t is not None for k, line in enumerate(t.split("\n"))}
+    assert {k: r.drawn for k, r in got.items()} == want
+    assert got[2, 0].n_lines == 1 and got[2, 0].size == 10.0 and got[2, 89].n_lines > 1 and got[1, 2].n_lines == 0
+
+
+def test_skipped_sizes_would_not_have_fitted():
+    for n in (0, 3, 71, 72, 73, 140, 219, 230, 900):
+        for text in ("x" * n, ("ab, " * n)[:n], ("日本。" * n)[:n], ("one two\n" * n)[:n]):
+            for width in (5.0, 60.0, 360.0):
+                s, lines = 10.0, L.wrap(text, 10.0, width)
+                while s > 4.5 and len(lines) * s * 1.35 > 18.0:
+                    s -= 0.25
+                    lines = L.wrap(text, s, width)
+                assert L.fit_size(text, 10.0, width, 18.0) == (s, lines)
