@@ -8,6 +8,7 @@ A value that stays costly is random enough to be a real secret.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm._shared import slices, table
+from quire.llm.tokens import tokenizer_path
 
 # The base patterns of the contract and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -37,6 +39,12 @@ MIN_VALUE, MIN_BITS = 8, 36.0
 #: Longest piece that a word, date or walk can be; longer values are still cut whole, piece by piece.
 MAX_PIECE = 32
 
+#: Tokenizer files whose merges, in order of frequency, rank the words beyond COMMON; how each marks a whole word.
+RANKED_FILES = (("word_bpe_49k.json", re.compile(r"(.+)</w>")), ("byte_bpe_50k.json", re.compile(r"Ġ(.+)")))
+#: Shorter words of the files are left out, and those of just so many letters count only where no letter is beside them:
+#: a random value holds one often, and would look cheap.
+MIN_WORD = 4
+
 # Common words in guessing order (rank = place), and the rows of a keyboard.
 COMMON = """password secret token admin user login welcome changeme change letmein example test default guest
 root master qwerty dragon monkey football baseball shadow sunshine princess hello summer winter spring autumn
@@ -48,7 +56,29 @@ ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("@4301!$57", "aaeoiisst")
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d|(?:19|20)\d\d")
 
-_RANK = {w: math.log2(i + 2) for i, w in enumerate(COMMON)}
+_COMMON = frozenset(COMMON)
+
+
+@lru_cache(maxsize=1)
+def ranked_words() -> dict[str, float]:
+    """log2 of the guessing rank of each word: COMMON first, then the whole words of the tokenizer files by their best place in one."""
+    odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+    byte_of = {chr(256 + i): b for i, b in enumerate(odd)} | {chr(b): b for b in range(256) if b not in odd}
+    place: dict[str, int] = {}
+    for name, whole in RANKED_FILES:
+        with open(tokenizer_path(name), encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        found: dict[str, int] = {}
+        for piece in sorted(vocab, key=vocab.__getitem__):
+            if (m := whole.fullmatch(piece)) and all(c in byte_of for c in m[1]):
+                word = bytes(byte_of[c] for c in m[1]).decode("utf-8", "replace").lower()
+                if len(word) >= MIN_WORD and word.isalpha():
+                    found.setdefault(word, len(COMMON) + len(found))
+        for word, i in found.items():
+            place[word] = min(i, place.get(word, i))
+    return {w: math.log2(i + 2) for w, i in place.items()} | {w: math.log2(i + 2) for i, w in enumerate(COMMON)}
+
+
 _NEAR: dict[str, set[str]] = {}
 for _r, _row in enumerate(ROWS):
     for _c, _k in enumerate(_row):
@@ -69,6 +99,7 @@ def guess_bits(value: str) -> float:
 
     Each further piece costs one bit, so that many tiny pieces don't beat one fitting piece.
     """
+    rank = ranked_words()
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
     best = [0.0] + [math.inf] * n
@@ -96,9 +127,9 @@ def guess_bits(value: str) -> float:
                 b = min(b, best[j - k] + 2.0)
         for i in range(max(0, j - MAX_PIECE), j - 1):
             word = plain[i:j]
-            if word in _RANK:
+            if word in rank and (j - i > MIN_WORD or word in _COMMON or not (value[i - 1 : i].isalpha() or value[j : j + 1].isalpha())):
                 up = value[i:j] != low[i:j]
-                b = min(b, best[i] + _RANK[word] + up + (word != low[i:j]) + 1)
+                b = min(b, best[i] + rank[word] + up + (word != low[i:j]) + 1)
             elif value[i].isdigit() and 4 <= j - i <= 10 and DATE.fullmatch(value, i, j):
                 b = min(b, best[i] + (math.log2(120) if j - i == 4 else math.log2(120 * 366)) + 1)
         best[j] = b

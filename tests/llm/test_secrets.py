@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 import pytest
 from hypothesis import given, settings
@@ -55,6 +57,26 @@ def test_values_longer_than_their_base_span_go_whole():
     assert redact(text) == "[SECRET] end"
 
 
+PROSE = "incorrect patience required mandatory forgotten necessary confidential something everything different important impossible compromised protected happiness knowledge distributed encrypted available invalidated case-sensitive Remember. misconfigured unbelievable".split()
+
+
+@pytest.mark.parametrize("key", ["password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "api_key", "access-key", "auth", "authorization", "bearer", "credential", "credentials", "private_key"])
+def test_ordinary_prose_behind_a_keyword_stays(key):
+    for word in PROSE:
+        for text in (f"the {key} is {word} here", f"{key.title()} is {word}", f"the bearer {word} came"):
+            assert redact(text) == text
+        assert all(s[2] != "guess" for s in find_spans(f"{key}: {word}"))  # the base pattern takes 12 plain characters, words too
+
+
+def test_random_letters_stay_costly():
+    for value in ("xkqjzvbw", "qzvkxwjgpt", "aB3xK9pQ7z", "wmzkq7rt2x"):
+        assert guess_bits(value) >= 36
+    rng = random.Random(1)
+    values = ["".join(rng.choice(string.ascii_lowercase) for _ in range(8)) for _ in range(1000)]
+    assert sum(guess_bits(v) < 36 for v in values) < 260  # 248, with COMMON alone as well
+    assert guess_bits("correct-horse-battery-staple") >= 36
+
+
 def test_redact():
     text = 'x token = "24be64439e3e49cf46b2d7c90f3602a3" y deadbeefdeadbeef z'
     assert redact(text) == 'x [SECRET]" y [SECRET] z'
