@@ -103,6 +103,13 @@ class LanguageModel:
             self.memo[word] = got
         return got
 
+    def knows(self, word: str) -> bool:
+        """Whether the word or an n-gram that holds one of its letters was learned; its edges alone, which all words share, don't count.
+
+        A learned n-gram's letters were learned too, as often at least, so single letters decide.
+        """
+        return word in self.words or any(c in self.grams for c in word if c not in "^$")
+
     def predict(self, words: list[str], enough: int = 0) -> tuple[str, float]:
         """Language and its share of the evidence. enough: skip unseen words if so many words are known (0: never)."""
         if not words or not self.langs:

@@ -34,7 +34,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
             for t, given in zip(b.column(text).to_pylist(), b.column(lang).to_pylist(), strict=True):
                 words = tokens(t)
                 got = own.predict(words)[0] if words else UNKNOWN
-                known = bool(words) and (not own.langs or any(w in own.words or own.unseen(w).any() for w in words))
+                known = bool(words) and (not own.langs or any(map(own.knows, words)))
                 keep.append(known)
                 filled.append(given if given is not None or got == UNKNOWN else got)
             cols = list(b.columns)

@@ -28,6 +28,13 @@ def test_stages_keep_columns_and_clean_rows(spark, odd, none, write):
         assert stage(spark, none, at).collect() == []
 
 
+def test_texts_in_an_unlearned_script_go(spark, odd):
+    more = [(20, "быстрая лиса", None, "a", 12), (21, "η γρήγορη αλεπού", None, "a", 16), (22, "素早い茶色の狐", None, "a", 7), (23, "быстрая fox", None, "a", 11), (24, "zzyzx", None, "a", 5)]
+    docs = odd.filter("doc_id in (1, 5, 7, 8)").unionByName(spark.createDataFrame(more, odd.schema))
+    kept = {r.doc_id for r in stages.keep_languages(spark, docs, "").collect()}
+    assert {1, 5, 7, 8, 23, 24} == kept
+
+
 def test_repeated_ids_keep_one(spark, odd):
     only = odd.filter("doc_id = 5")
     assert stages.keep_one_of_each_group(spark, only, "").count() == 1
