@@ -56,7 +56,8 @@ class CachedTokenizer:
 
     Both kinds of files cut a text before each single space between other characters, so the ids of
     such a text are those of its words one after another; a single line feed is kept in front of its
-    word. Texts with other white space beside either go to the tokenizer whole. A word of letters,
+    word. Texts with other white space beside either, or with the literal of an added token such as
+    "<|endoftext|>", go to the tokenizer whole. A word of letters,
     alone or before one ASCII mark, is one piece for the merge table and goes straight to it.
     """
 
@@ -65,7 +66,8 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        # texts with an added token's literal go whole; its first two characters stand in, as no normalizer makes them from others
+        self.literals = tuple({t.content[:2] for t in self.tok.get_added_tokens_decoder().values()})
         self.model = self.tok.model
         self.spaced = self._ids("a b") != self._ids("a") + self._ids("b")  # a leading space belongs to the word
         # byte-level pieces write byte b as one character: itself if printable, else 256 and on
@@ -115,7 +117,7 @@ class CachedTokenizer:
         for t in texts:
             if not t:
                 out.append(b"")
-            elif self._uneven(t):
+            elif self._uneven(t) or any(x in t for x in self.literals):
                 out.append(self._pack(self._ids(t)))
             else:
                 if len(self.memo) > self.most:

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from quire.llm.packing import cut_document, op5_packing, pack, pack_documents
 from quire.llm.tokens import CachedTokenizer, op6_token_ids, tokenize, tokenizer_path
@@ -19,6 +20,22 @@ def test_cached_ids_equal_the_library(text):
         assert t.encode_all([text]) == [want]
 
 
+FRESH = {f: Tokenizer.from_file(tokenizer_path(f)) for f in TOKS}
+
+
+@given(TEXT)
+@settings(max_examples=200, deadline=None)
+def test_cached_ids_equal_a_fresh_tokenizer(text):
+    for f, t in TOKS.items():
+        for x in (text, f"{text}<|endoftext|>{text}", f"a <|startoftext|> {text}<|ENDOFTEXT|>"):
+            assert t.encode_all([x]) == [np.array(FRESH[f].encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()]
+
+
+def test_literals_of_added_tokens_are_their_ids():
+    assert 50256 in np.frombuffer(TOKS["byte_bpe_50k.json"].encode_all(["a<|endoftext|>b c"])[0], "<u4")
+    assert 49407 in np.frombuffer(TOKS["word_bpe_49k.json"].encode_all(["a<|endoftext|>b c"])[0], "<u4")
+
+
 def plain(text, f, end):
     return np.array(TOKS[f].tok.encode(text or "", add_special_tokens=False).ids + [end], dtype="<u4")
 
