@@ -259,7 +259,7 @@ def job_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("merged_jobs", "SELECT event_id AS id, event_type AS status FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT event_id, 'remote' FROM events WHERE event_id % 3 = 0 AND event_id % 2 = 0")
 def merged_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events stand for local jobs (two thirds) and remote ones (the even)."""
+    """Events stand for local jobs (two thirds) and remote ones (the even); those with id % 6 = 3 are in neither, as the SQL twin has it."""
     jobs = v_job(spark, sf_dir).select("id", "status")
     return ST.merged_jobs(jobs.filter("id % 3 <> 0"), jobs.filter("id % 2 = 0").withColumn("status", F.lit("remote")))
 

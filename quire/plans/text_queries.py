@@ -346,7 +346,7 @@ def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("quality_units", "WITH u AS (SELECT doc_id, turn, text FROM (SELECT conv_id AS doc_id, turn, text FROM conversations WHERE turn % 2 = 0)) SELECT doc_id, 'translator' AS role, 'untranslated' AS kind, CAST(count(*) AS VARCHAR) AS detail, 'reengine' AS param FROM u WHERE turn % 4 = 0 GROUP BY doc_id")
 def quality_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q01, Q02, Q06 over conversations: every fourth turn lacks its target."""
+    """Q01, Q02, Q06 over the even turns of conversations, as the SQL twin has them (odd turns are left out): every second of these lacks its target."""
     conv = table(spark, sf_dir, "conversations").filter("turn % 2 = 0")
     units = conv.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("uid"), F.col("text").alias("source"), F.when(F.col("turn") % 4 != 0, F.col("text")).alias("target"))
     return Q.untranslated(units).unionByName(Q.placeholder_leak(units))
