@@ -30,13 +30,10 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in slices(batches):
-            keep, filled = [], []
-            for t, given in zip(b.column(text).to_pylist(), b.column(lang).to_pylist(), strict=True):
-                words = tokens(t)
-                got = own.predict(words)[0] if words else UNKNOWN
-                known = bool(words) and (not own.langs or any(map(own.knows, words)))
-                keep.append(known)
-                filled.append(given if given is not None or got == UNKNOWN else got)
+            words = [tokens(t) for t in b.column(text).to_pylist()]
+            found = own.predict(words)
+            keep = [bool(w) and (not own.langs or known) for w, (_, _, known) in zip(words, found, strict=True)]
+            filled = [given if given is not None or got == UNKNOWN else got for given, (got, _, _) in zip(b.column(lang).to_pylist(), found, strict=True)]
             cols = list(b.columns)
             cols[lang] = pa.array(filled, b.schema.field(lang).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(keep, pa.bool_()))

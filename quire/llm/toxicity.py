@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm._shared import by_bytes, crc_mod, table
-from quire.llm.langid import labelled_sample
+from quire.llm.langid import class_shares, sampled
 from quire.llm.wordhash import words
 
 BUCKETS = 1 << 22
@@ -221,7 +221,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER
     Rows without id, label or text teach nothing. docs: doc_id, text, lang.
     """
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic")).alias("toxic"))
-    marks = labelled_sample(marks, per_label, "toxic")
+    marks = sampled(marks, class_shares(marks, per_label, "toxic"), "toxic")
     rows = docs.select("doc_id", "text", "lang").filter("text is not null").join(F.broadcast(marks), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
