@@ -13,8 +13,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +28,8 @@ PIECE = 512
 GROUP_DOCS = 800
 #: Words that a worker holds where it doesn't keep them.
 FEW_WORDS = 150_000
-#: Sequence ids of a group start at its number times this.
-GROUP_SPAN = 1 << 22
+#: Sequence ids of a group start at its number times this: more than the windows of a group, whose texts have 2 GB each at most.
+GROUP_SPAN = 1 << 31
 
 
 def cut_document(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int, int]]:
@@ -117,8 +117,8 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, capacity: int = CAPA
 
     Pieces are dealt evenly to groups by a hash of their place in the scan, so repeated rows spread too;
     a group holds about group_docs documents whatever the table's size, and each is packed by itself,
-    whole windows as sequences of their own. The result is the same at every run over the same files.
-    Null texts give the end id alone. Repeated rows are packed as often as they come. An empty table
+    whole windows as sequences of their own. The result is the same at every run, and for a repeated task, over
+    the same files with the same split sizes; other splits deal the same pieces to other groups. Null texts give the end id alone. Repeated rows are packed as often as they come. An empty table
     gives an empty one.
     """
     groups = max(1, -(-docs.count() // group_docs))
@@ -126,8 +126,10 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, capacity: int = CAPA
     rows = rows.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["id", "start", "length", "ids_crc32", "doc_tokens"], kind="stable", na_position="first").reset_index(drop=True)
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        # ids stay in Arrow: a null beside them must not turn them into floats
+        keys = [(c, "ascending") for c in ("id", "start", "length", "ids_crc32", "doc_tokens")]
+        part = part.take(pc.sort_indices(part, sort_keys=keys, null_placement="at_start"))
         size = part["length"].to_numpy()
         whole = np.flatnonzero(size == capacity)
         rest = np.flatnonzero(size < capacity)
@@ -138,10 +140,10 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, capacity: int = CAPA
             for i in items:
                 seq[rest[i]], off[rest[i]] = len(whole) + w, at
                 at += int(size[rest[i]])
-        part["sequence_id"], part["offset"] = seq + int(key[0]) * GROUP_SPAN, off
-        return part[["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+        cols = [part[c] for c in ("id", "start", "length", "ids_crc32", "doc_tokens")]
+        return pa.table([*cols, pa.array(seq + key[0].as_py() * GROUP_SPAN), pa.array(off)], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    out = rows.groupBy("grp").applyInPandas(run, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    out = rows.groupBy("grp").applyInArrow(run, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
     return out.withColumnRenamed("id", id_col)
 
 

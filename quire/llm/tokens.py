@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm._shared import by_bytes, shared_dir, table
@@ -29,6 +29,7 @@ _ASCII_SPACES = [c for c in _OTHER_SPACES if c.isascii()]
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
 #: Documents that one output file holds, about.
 DOCS_PER_FILE = 8_000
+FILES_PER_BLOCK = 4_096
 
 
 def tokenizer_path(name: str, folder: str | None = TOKENIZER_DIR) -> str:
@@ -166,42 +167,47 @@ def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", te
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", docs_per_file: int = DOCS_PER_FILE) -> None:
-    """Write id, n_tokens, ids in ascending order of id, then text: files cover ranges of ids and are sorted inside.
+    """Write id, n_tokens, ids in ascending order of id, then of the text's hash: files cover ranges of both and are sorted inside.
 
-    Rows with equal ids stay together in one file, in the order of their texts; null ids come first.
+    Rows of one id may fill any number of files; only rows that are equal stay in one. Null ids come first.
     """
     n = docs.count()
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("h"))
     parts = max(1, -(-n // docs_per_file))
-    ordered = rows.repartitionByRange(parts, "doc_id") if parts > 1 else rows.coalesce(1)
-    ids = tokenize(ordered.sortWithinPartitions("doc_id", "text"), tokenizer, end_id)
+    ordered = rows.repartitionByRange(parts, "doc_id", "h") if parts > 1 else rows.coalesce(1)
+    ids = tokenize(ordered.sortWithinPartitions("doc_id", "h", "text"), tokenizer, end_id)
     out = ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
-    writer = out.write.option("parquet.enable.dictionary", "true").option("parquet.block.size", str(ROW_GROUP_BYTES))
+    writer = out.write.option("parquet.enable.dictionary", "true").option("parquet.block.size", str(ROW_GROUP_BYTES)).option("maxRecordsPerFile", 0)
     writer.option("parquet.page.size", str(PAGE_BYTES)).option("parquet.page.row.count.limit", str(PAGE_ROWS)).option("parquet.dictionary.page.size", str(1 << 20)).option("compression", "zstd").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("doc_id bigint, n_tokens bigint, ids array<int>").parquet(path)
+    """doc_id, n_tokens, ids of the files, and each row's place: file (its number in the order of ids) and row."""
+    files = spark.read.schema("doc_id bigint, n_tokens bigint, ids array<int>").parquet(path)
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"part-([0-9]+)", 1).cast("bigint")
+    return files.select("doc_id", "n_tokens", "ids", number.alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def file_starts(files: DataFrame) -> DataFrame:
+    """file, before: the ids in all files before each. Sums of blocks of files are added up first, then those within a block,
+    so no task sees more than FILES_PER_BLOCK rows or one for each block."""
+    per = files.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("block", F.floor(F.col("file") / FILES_PER_BLOCK))
+    blocks = per.groupBy("block").agg(F.sum("n").alias("n"))
+    ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("block").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    return per.withColumn("own", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(blocks, "block").select("file", (F.col("base") + F.col("own")).alias("before"))
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's digest, from the files: start of each document among all ids in order, its size, crc32 of its ids.
 
-    Starts add the sizes of the files before (one row for each file on the driver) to those of the
-    documents before in the same file, in file order.
+    Starts add the sizes of the files before to those of the documents before in the same file; a file holds about
+    DOCS_PER_FILE rows. A null id or text, ties and repeated rows keep their own rows; an empty table gives an empty one.
     """
     at = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents"), at, tokenizer_path("byte_bpe_50k.json"), 0)
     files = read_token_files(spark, at)
-    named = files.select("doc_id", "n_tokens", "ids", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    per_file = files.select("n_tokens", F.col("_metadata.file_path").alias("file"), "doc_id").groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    base, total = {}, 0
-    for r in sorted(per_file.collect(), key=lambda r: ((r.low is not None, r.low or 0), (r.high is not None, r.high or 0), r.file)):
-        base[r.file], total = total, total + r.n
-    # a file may be read in several splits, by row groups: places inside a file come from its own sizes column
-    from pyspark.sql import Window
-
-    inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -211,7 +217,8 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
             crc = [zlib.crc32(raw[a:e]) for a, e in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(cut), pa.int64()), pa.array(crc, pa.int64()), b.column(3), b.column(4)], ["doc_id", "n_tokens", "ids_crc32", "file", "row"])
 
-    digest = named.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, file string, row bigint")
-    first = F.create_map(*[x for f, n in base.items() for x in (F.lit(f), F.lit(n))]) if base else F.create_map().cast("map<string,bigint>")
-    out = digest.withColumn("start", F.coalesce(inside, F.lit(0)) + F.element_at(first, F.col("file")))
-    return out.select("doc_id", F.col("start").cast("bigint").alias("start"), "n_tokens", "ids_crc32")
+    # a file may be read in several splits, by row groups: places inside a file come from its own sizes column
+    inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
+    digest = files.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, file bigint, row bigint").withColumn("inside", F.coalesce(inside, F.lit(0)))
+    out = digest.join(file_starts(files.select("file", "n_tokens")), "file")
+    return out.select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")

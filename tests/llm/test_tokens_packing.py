@@ -5,9 +5,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quire.llm.packing import cut_document, op5_packing, pack, pack_documents
+from pyspark.sql import functions as F
+
+from quire.llm import tokens
+from quire.llm.packing import cut_document, difference, op5_packing, pack, pack_documents
 from quire.llm.tokens import CachedTokenizer, op6_token_ids, tokenize, tokenizer_path
 
+BIG = 9007199254740993  # 2**53 + 1: a float would lose it
 TOKS = {f: CachedTokenizer(tokenizer_path(f)) for f in ("byte_bpe_50k.json", "word_bpe_49k.json")}
 TEXT = st.lists(st.sampled_from(["a", "The", "don't", "é", "É", "é", " ", "  ", "\n", ",", ".", "x1", "0", "００", "\t", "　", "\xa0", "ß", "İ", "Σ", "ΑΣ", "ǅ", "<|endoftext|>", "-", "'s", "日本", "\x1c", "word.\nNext", "😀"]), max_size=25).map("".join)
 
@@ -16,8 +20,7 @@ TEXT = st.lists(st.sampled_from(["a", "The", "don't", "é", "É", "é", " ", "
 @settings(max_examples=400, deadline=None)
 def test_cached_ids_equal_the_library(text):
     for t in TOKS.values():
-        want = np.array(t.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        assert t.encode_all([text]) == [want]
+        assert t.encode_all([text]) == [np.array(FRESH[next(f for f in TOKS if TOKS[f] is t)].encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()]
 
 
 FRESH = {f: Tokenizer.from_file(tokenizer_path(f)) for f in TOKS}
@@ -37,7 +40,7 @@ def test_literals_of_added_tokens_are_their_ids():
 
 
 def plain(text, f, end):
-    return np.array(TOKS[f].tok.encode(text or "", add_special_tokens=False).ids + [end], dtype="<u4")
+    return np.array(FRESH[f].encode(text or "", add_special_tokens=False).ids + [end], dtype="<u4")
 
 
 @given(st.lists(st.integers(1, 2047), max_size=120))
@@ -48,6 +51,33 @@ def test_pack_is_a_partition_within_capacity(sizes):
     assert all(sum(sizes[i] for i in g) <= 2048 for g in got)
 
 
+def plain_difference(sizes, m):
+    """Multiway differencing with all m windows of every partial partition."""
+    parts = [(s, i, [0] * (m - 1) + [s]) for i, s in enumerate(sizes)]
+    tie = len(sizes)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (-p[0], p[1]))
+        a, b = parts.pop(0), parts.pop(0)
+        sums = sorted(x + y for x, y in zip(a[2], reversed(b[2]), strict=True))
+        parts.append((sums[-1] - sums[0], tie, sums))
+        tie += 1
+    return parts[0][2]
+
+
+@given(st.lists(st.integers(1, 512), min_size=1, max_size=40), st.integers(1, 9))
+@settings(max_examples=200, deadline=None)
+def test_differencing_equals_the_plain_form(sizes, m):
+    got = sorted(sum(sizes[i] for i in g) for g in difference(sizes, m))
+    assert [x for x in got if x] == [x for x in plain_difference(sizes, m) if x]
+
+
+def test_big_ids_beside_null_ids(spark, odd, write):
+    more = spark.createDataFrame([(BIG, "a b", "en", "a", 3), (BIG + 1, "a <|endoftext|> b", "en", "a", 3), (None, None, None, None, None)], odd.schema)
+    at = write(documents=odd.unionByName(more))
+    assert {BIG, BIG + 1, None} <= {r.doc_id for r in op5_packing(spark, at).collect()}
+    assert {BIG, BIG + 1, None} <= {r.doc_id for r in op6_token_ids(spark, at).collect()}
+
+
 def test_cut_document():
     for n in (1, 511, 512, 513, 2047, 2048, 2049, 10000):
         got = cut_document(n)
@@ -103,5 +133,21 @@ def test_token_files(spark, odd, none, clashing, write):
     assert tokenize(none, path, 0).collect() == [] and tokenize(clashing, path, 0).count() == 14
 
 
+def test_many_files(spark, sf_dir, monkeypatch, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.unionByName(docs.withColumn("doc_id", F.lit(7).cast("bigint")))  # half of all rows bear one id
+    monkeypatch.setattr(tokens, "FILES_PER_BLOCK", 3)
+    at = str(tmp_path / "files")
+    tokens.write_token_files(rows, at, tokenizer_path("byte_bpe_50k.json"), 0, docs_per_file=20)
+    files = tokens.read_token_files(spark, at)
+    got = files.join(tokens.file_starts(files.select("file", "n_tokens")), "file").select("doc_id", "n_tokens", "file", "row", "before").collect()
+    assert len({r.file for r in got}) > 10 and max(sum(r.file == f for r in got) for f in {r.file for r in got}) < 100
+    at_id, last = 0, None
+    for r in sorted(got, key=lambda r: (r.file, r.row)):
+        assert r.row or r.before == at_id
+        assert last is None or r.doc_id >= last
+        at_id, last = at_id + r.n_tokens, r.doc_id
+
+
 def test_token_files_of_an_empty_table(spark, none, write):
     assert op6_token_ids(spark, write(documents=none)).collect() == []
