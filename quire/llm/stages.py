@@ -1,4 +1,7 @@
-"""Stages of the corpus pipeline, each around one operator; all but the last keep the columns of their input."""
+"""Stages of the corpus pipeline, each around one operator; all but the last keep the columns of their input.
+
+They need the columns doc_id (an integer), text, lang (strings) and n_chars of documents; others travel along.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from quire.llm._shared import slices, stored, table
 from quire.llm.decontam import drop_leaks
@@ -42,20 +46,33 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard of 0.8 and more) keep the document with the least id.
+    """Of each group of near copies (five-word shingles, Jaccard of 0.8 and more) keep the text with the least id.
 
-    Rows with a null id stay. Of several rows with one id, one stays: the one whose text comes first.
+    Rows with a null id stay. Several texts of one id count as documents of their own, so none goes for another's
+    sake; of equal ones and of near copies among them the one with the least hash stays. Of rows with one id and one
+    text one stays: that with the least hash of its columns (maps left out). Other columns can be of any kind and name.
     """
-    ids = jaccard_components(docs, words=5, num=8, den=10)
-    gone = stored(ids.filter("doc_id is not null and component_id <> doc_id").select("doc_id").distinct(), "near-copies")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    again = stored(again, "repeated-ids")
-    if again.isEmpty():
-        return left
-    first = left.join(again, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")), *[c for c in docs.columns if c != "doc_id"])).alias("row"))
-    first = first.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"row.{c}").alias(c) for c in docs.columns])
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    seen = docs.filter("doc_id is not null").groupBy("doc_id", h.alias("h")).agg(F.count("*").alias("n"))
+    seen = stored(seen.groupBy("doc_id").agg(F.collect_list("h").alias("h"), F.sum("n").alias("n")).filter("n > 1"), "repeated-ids")
+    if seen.isEmpty():
+        gone = jaccard_components(docs, words=5, num=8, den=10).filter("doc_id is not null and component_id <> doc_id")
+        return docs.join(stored(gone.select("doc_id").distinct(), "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    # repeated ids: each of their texts gets a number of its own below all ids
+    low = docs.agg(F.min("doc_id")).first()[0]
+    own = stored(seen.select("doc_id", F.explode("h").alias("_h")).withColumn("_own", F.lit(low - 1) - F.monotonically_increasing_id()), "texts-of-repeated-ids")
+    named = docs.withColumn("_h", h).join(own, ["doc_id", "_h"], "left").withColumn("_key", F.coalesce("_own", "doc_id"))
+    found = jaccard_components(named, words=5, num=8, den=10, id_col="_key").filter("_key is not null").select("_key", "component_id").distinct()
+    groups = stored(found.join(found.filter("_key <> component_id").select("component_id").distinct(), "component_id", "left_semi"), "groups")
+    ids = groups.join(named.filter("_key is not null").select("_key", "doc_id", "_h").distinct(), "_key")
+    heads = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "_h", "_key")).alias("head"))
+    gone = stored(groups.join(heads, "component_id").filter("_key <> head._key").select("_key"), "near-copies")
+    left = named.join(gone, "_key", "left_anti")
+    plain = [c for c in docs.columns if not isinstance(docs.schema[c].dataType, (MapType, VariantType))]
+    # columns by place, so that no name of theirs can clash; the hash decides, as not every kind of column can be ordered
+    first = left.filter("_own is not null").groupBy("_own").agg(F.min_by(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]), F.xxhash64(*plain)).alias("_row"))
+    first = first.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return left.filter("_own is null").select(*docs.columns).unionByName(first)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

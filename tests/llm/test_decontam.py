@@ -52,6 +52,33 @@ def test_equals_brute_force(spark, monkeypatch):
     assert left == {x for x, _ in docs} - {x[0] for x in want}
 
 
+def test_items_scattered_through_a_long_document(spark):
+    """The words of an item's shingles stand in pieces, far from each other, and a fifth is missing."""
+    rng = random.Random(8)
+    vocab = [f"u{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(n))) for i, n in enumerate([12, 18, 20, 35, 37, 40, 70, 75, 140, 150] * 4)]
+    docs = []
+    for d, (i, x) in enumerate(items):
+        w = x.split()
+        pieces = [w[k : k + 14] for k in range(0, len(w) - 4, 10)]  # each shingle stays whole in some piece
+        pieces = pieces[:-1] if len(pieces) > 5 else pieces
+        rng.shuffle(pieces)
+        docs.append((d, " ".join(y for p in pieces for y in [*p, *(rng.choice(vocab) for _ in range(rng.randint(50, 400)))])))
+    want = brute(docs, items)
+    assert len(want) >= 36
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert sorted(((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in find_leaks(d, i).collect()), key=str) == want
+
+
+def test_items_without_an_id_leak_too(spark, odd):
+    items = spark.createDataFrame([(None, "quick brown fox jumps over the lazy dog")], "item_id bigint, text string")
+    assert find_leaks(odd, items).collect() == [] and drop_leaks(odd, items).filter("doc_id in (1, 5)").isEmpty()
+
+
+def test_classes_are_finer_than_a_quarter():
+    assert all(n <= decontam.class_size(n) <= max(n, 1.25 * n) for n in range(1, 5000))
+
+
 def test_odd_rows(spark, odd, none, clashing):
     items = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog"), (2, None)], "item_id bigint, text string")
     assert sorted(r.doc_id for r in find_leaks(odd, items).collect()) == [1, 5, 5]

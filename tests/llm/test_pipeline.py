@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 from test_decontam import brute as leaks
 from test_jaccard import brute as components
 
@@ -40,6 +41,22 @@ def test_repeated_ids_keep_one(spark, odd):
     assert stages.keep_one_of_each_group(spark, only, "").count() == 1
 
 
+def test_texts_of_one_id_are_documents_of_their_own(spark, odd):
+    fox, wolf = odd.filter("doc_id = 1").first().text, "an entirely different text about the wolf and the seven little goats in their house"
+    rows = [(5, fox, "en", "a", 1), (5, wolf, "en", "a", 1), (5, wolf, "en", "a", 1), (3, fox, "en", "a", 1), (9, wolf + " again", "en", "a", 1), (None, fox, None, None, None), (None, fox, None, None, None)]
+    got = stages.keep_one_of_each_group(spark, spark.createDataFrame(rows, odd.schema), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(3, fox), (5, wolf), (None, fox), (None, fox)], key=str)
+
+
+def test_columns_of_any_kind_and_name(spark, odd):
+    wide = odd.withColumns({"col1": F.lit(1), "_1": F.lit("x"), "m": F.create_map(F.lit("a"), F.lit(1)), "a": F.array(F.lit(1)), "h": F.lit(2), "n": F.lit(3)})
+    plain = stages.keep_one_of_each_group(spark, odd, "").collect()
+    got = stages.keep_one_of_each_group(spark, wide, "")
+    assert got.columns == wide.columns and sorted(str(r.doc_id) for r in got.collect()) == sorted(str(r.doc_id) for r in plain)
+    one = wide.filter("doc_id in (1, 7, 12)")
+    assert sorted(r.doc_id for r in stages.keep_one_of_each_group(spark, one, "").collect()) == [1, 7, 12]
+
+
 def test_run_packs_every_kept_document(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
