@@ -36,8 +36,10 @@ HINT = re.compile(r"pass|pwd|secret|token|key|auth|bearer|credential", re.I | re
 
 #: Values of at least this many characters and log2 guesses are reported.
 MIN_VALUE, MIN_BITS = 8, 36.0
-#: Longest piece that a word, date or walk can be; longer values are still cut whole, piece by piece.
+#: Longest piece that a word, date or block can be; longer values are still cut whole, piece by piece.
 MAX_PIECE = 32
+#: A keyboard walk costs so much, and one bit for each key; a sequence of neighbouring characters has at most so many.
+WALK_BITS, MAX_SEQUENCE = math.log2(47), 128
 
 #: Tokenizer files whose merges, in order of frequency, rank the words beyond COMMON; how each marks a whole word.
 RANKED_FILES = (("word_bpe_49k.json", re.compile(r"(.+)</w>")), ("byte_bpe_50k.json", re.compile(r"Ġ(.+)")))
@@ -93,43 +95,75 @@ def _brute_bits(ch: str) -> float:
     return math.log2(33)
 
 
+def piece_bits(value: str, i: int, j: int) -> float:
+    """log2 guesses of value[i:j] as one piece of any kind but brute force; infinite if it is none."""
+    rank = ranked_words()
+    low, size, got = value.lower(), j - i, math.inf
+    part = low[i:j]
+    near = [b in _NEAR.get(a, ()) for a, b in zip(part, part[1:], strict=False)]
+    steps = {ord(b) - ord(a) for a, b in zip(part, part[1:], strict=False)}
+    if size >= 3 and all(near):
+        got = WALK_BITS + size
+    if 3 <= size <= MAX_SEQUENCE and steps in ({1}, {-1}):
+        got = min(got, math.log2(2 * 36 * size) + 1)
+    if size >= 3 and steps == {0}:
+        got = min(got, _brute_bits(part[0]) + math.log2(size) + 1)
+    if 2 <= size <= MAX_PIECE and i >= size and low[i - size : i] == part:
+        got = min(got, 2.0)
+    if 2 <= size <= MAX_PIECE:
+        word = part.translate(LEET)
+        if word in rank and (size > MIN_WORD or word in _COMMON or not (value[i - 1 : i].isalpha() or value[j : j + 1].isalpha())):
+            got = min(got, rank[word] + (value[i:j] != part) + (word != part) + 1)
+        elif value[i].isdigit() and 4 <= size <= 10 and DATE.fullmatch(value, i, j):
+            got = min(got, (math.log2(120) if size == 4 else math.log2(120 * 366)) + 1)
+    return got
+
+
+def _case_bits(value: str) -> float:
+    mixed = sum(c.isupper() for c in value)
+    return 0.0 if not mixed or mixed == len(value) or (mixed == 1 and value[0].isupper()) else 1.0
+
+
 @lru_cache(maxsize=5_000)
 def guess_bits(value: str) -> float:
     """log2 of the guesses that the cheapest segmentation of value takes; 0 for an empty one.
 
-    Each further piece costs one bit, so that many tiny pieces don't beat one fitting piece.
+    Pieces: one character by brute force, or a piece of piece_bits(). Each further piece costs one bit, so that many
+    tiny pieces don't beat one fitting piece. The least over all segmentations: every start of every kind of piece is
+    tried. Walks cost the same for each further key, so the best open one is carried on. A repeat of one character
+    need only begin in the first MAX_PIECE + 1 places of its run: a piece that began before the run ends there, and to
+    cut what lies between into pieces costs more than the longer repeat.
     """
     rank = ranked_words()
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
     best = [0.0] + [math.inf] * n
-    mixed = sum(c.isupper() for c in value)
-    case = 0.0 if not mixed or mixed == n or (mixed == 1 and value[0].isupper()) else 1.0
-    walk = run = same = 0  # lengths of the keyboard walk, step sequence and repeat that end here
+    case = _case_bits(value)
+    walk = same = up = down = 1  # places of the keyboard walk, repeat and sequences that end here
+    open_walk = math.inf  # cheapest segmentation whose last piece is a walk of three keys or more that ends here
     for j in range(1, n + 1):
-        c = low[j - 1]
-        p = low[j - 2] if j > 1 else ""
+        c, p = low[j - 1], low[j - 2] if j > 1 else ""
+        step = ord(c) - ord(p) if p else 2
         walk = walk + 1 if p and c in _NEAR.get(p, ()) else 1
-        same = same + 1 if c == p else 1
-        step = ord(c) - ord(p) if p else 0
-        before = ord(p) - ord(low[j - 3]) if j > 2 else None
-        run = run + 1 if p and abs(step) == 1 and step == before else (2 if p and abs(step) == 1 else 1)
+        same, up, down = same + 1 if step == 0 else 1, up + 1 if step == 1 else 1, down + 1 if step == -1 else 1
         # brute force by one more character
-        b = best[j - 1] + _brute_bits(value[j - 1]) + case * (value[j - 1].isalpha())
+        b = best[j - 1] + _brute_bits(value[j - 1]) + case * value[j - 1].isalpha()
         if walk >= 3:
-            b = min(b, best[j - walk] + math.log2(47) + 2.0 * (walk - 1) * 0.5 + 1)
-        if run >= 3:
-            b = min(b, best[j - run] + math.log2(2 * 36 * run) + 1)
+            open_walk = min(open_walk + 1 if walk > 3 else math.inf, best[j - 3] + WALK_BITS + 3)
+            b = min(b, open_walk)
+        for k in range(3, min(max(up, down), MAX_SEQUENCE) + 1):
+            b = min(b, best[j - k] + math.log2(2 * 36 * k) + 1)
         if same >= 3:
-            b = min(b, best[j - same] + _brute_bits(c) + math.log2(same) + 1)
+            base = _brute_bits(c) + 1
+            for i in range(j - same, min(j - same + MAX_PIECE, j - 3) + 1):
+                b = min(b, best[i] + math.log2(j - i) + base)
         for k in range(2, min(MAX_PIECE, j // 2) + 1):  # a block written twice or more
             if low[j - k : j] == low[j - 2 * k : j - k]:
                 b = min(b, best[j - k] + 2.0)
         for i in range(max(0, j - MAX_PIECE), j - 1):
             word = plain[i:j]
             if word in rank and (j - i > MIN_WORD or word in _COMMON or not (value[i - 1 : i].isalpha() or value[j : j + 1].isalpha())):
-                up = value[i:j] != low[i:j]
-                b = min(b, best[i] + rank[word] + up + (word != low[i:j]) + 1)
+                b = min(b, best[i] + rank[word] + (value[i:j] != low[i:j]) + (word != low[i:j]) + 1)
             elif value[i].isdigit() and 4 <= j - i <= 10 and DATE.fullmatch(value, i, j):
                 b = min(b, best[i] + (math.log2(120) if j - i == 4 else math.log2(120 * 366)) + 1)
         best[j] = b
