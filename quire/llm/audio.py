@@ -1,8 +1,8 @@
 """Media columns: telephony audio.
 
 mu-law and A-law samples expand by 256-entry tables; ADPCM blocks of one size decode side by side,
-one numpy step for each sample place over all blocks; PCM is resampled linearly. A payload is stored
-losslessly as the 8-bit mu-law samples of a WAV file.
+one numpy step for each sample place over all blocks; PCM is resampled by a low-pass filter with a phase for
+each place between samples. A payload is stored losslessly as the 8-bit mu-law samples of a WAV file, beside its PCM.
 """
 
 from __future__ import annotations
@@ -11,16 +11,20 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-from quire.llm._shared import by_bytes, slices, table
+from quire.llm._shared import by_bytes, slices, stored, table
 
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 17
 RATE = 8000
 UNIT = 64
+#: The rate of the PCM that the query stores, and the lobes on each side of the resampling filter.
+STORED_RATE, LOBES = 4000, 6
 
 
 def _mulaw_table() -> np.ndarray:
@@ -66,17 +70,72 @@ def decode_ima(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def resample(pcm: np.ndarray, src: int, dst: int) -> np.ndarray:
-    """Linear interpolation to the new rate; an empty input stays empty."""
+@lru_cache(maxsize=16)
+def _phases(up: int, down: int) -> tuple[np.ndarray, int]:
+    """Taps of the low-pass filter for each of the `up` phases, as integers that add up to 2**14 (sums of products
+    with samples stay within 32 bits), and the taps before the centre.
+
+    A windowed sinc that cuts at nine tenths of the lower of the two half rates.
+    """
+    wide = max(1.0, down / up)
+    half = int(np.ceil(LOBES * wide))
+    k = np.arange(-half + 1, half + 1)
+    taps = []
+    for p in range(up):
+        t = (k - p / up) / wide
+        h = 0.9 * np.sinc(0.9 * t) * np.where(np.abs(t) < LOBES, 0.5 + 0.5 * np.cos(np.pi * t / LOBES), 0)
+        whole = np.floor(h / h.sum() * (1 << 14) + 0.5).astype(np.int64)
+        whole[half - 1] += (1 << 14) - whole.sum()
+        taps.append(whole)
+    return np.array(taps), half - 1
+
+
+def resample_all(pcm: np.ndarray, sizes: np.ndarray, src: int, dst: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signals one after another to a new rate, each by itself, low-passed; their samples and sizes.
+
+    A signal keeps its first sample's time; beyond its ends it is silent. Sums are of integers, so that equal signals
+    give equal samples whatever stands beside them. An empty signal stays empty.
+    """
     if src == dst or not len(pcm):
-        return pcm.astype(np.int16)
-    n = max(1, len(pcm) * dst // src)
-    return np.rint(np.interp(np.arange(n) * (src / dst), np.arange(len(pcm)), pcm)).astype(np.int16)
+        return pcm.astype(np.int16), sizes
+    g = int(np.gcd(src, dst))
+    up, down = dst // g, src // g
+    taps, before = _phases(up, down)
+    n = np.where(sizes > 0, np.maximum(1, sizes * up // down), 0)
+    width = taps.shape[1]
+    slots = -(-(sizes + width) // down) * down  # silence behind each signal; all begin at a multiple of the step
+    first = np.concatenate([[0], np.cumsum(slots)[:-1]])
+    flat = np.zeros(int(slots.sum()) + 2 * width + down, dtype=np.int32)
+    flat[np.arange(len(pcm)) + np.repeat(before + first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)] = pcm
+    k = np.arange(int(n.sum())) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+    if up == 1:  # one phase: every step-th place of the whole run, then those that are wanted
+        whole = np.zeros(int(slots.sum()) // down, dtype=np.int32)
+        for j in range(width):
+            whole += taps[0, j].astype(np.int32) * flat[j : j + len(whole) * down : down]
+        total = whole[k + np.repeat(first // down, n)]
+    else:
+        at, phase = k * down // up + np.repeat(first, n), k * down % up
+        total = np.zeros(len(k), dtype=np.int32)
+        for j in range(width):
+            total += taps[phase, j].astype(np.int32) * flat[at + j]
+    return np.clip((total + (1 << 13)) >> 14, -32768, 32767).astype(np.int16), n
+
+
+def resample(pcm: np.ndarray, src: int, dst: int) -> np.ndarray:
+    """One signal to a new rate, low-passed."""
+    return resample_all(pcm, np.array([len(pcm)]), src, dst)[0]
 
 
 def wav(data: bytes, form: int, rate: int = RATE, bits: int = 8, align: int = 1) -> bytes:
-    fmt = struct.pack("<HHIIHH", form, 1, rate, rate * align, align, bits)
-    body = b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
+    """A mono WAV file. Formats other than PCM have the size of their format's extension and a fact chunk with the number of samples."""
+    per_block = 1 + 2 * (align - 4)
+    fmt = struct.pack("<HHIIHH", form, 1, rate, rate * align // per_block if form == IMA else rate * align, align, bits)
+    if form == PCM:
+        head = b"fmt " + struct.pack("<I", len(fmt)) + fmt
+    else:
+        fmt += struct.pack("<HH", 2, per_block) if form == IMA else struct.pack("<H", 0)
+        head = b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"fact" + struct.pack("<II", 4, len(data) // align * per_block if form == IMA else len(data))
+    body = head + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WAVE" + body
 
 
@@ -95,20 +154,25 @@ def read_wav(media: bytes) -> tuple[int, int, int, bytes]:
     return form, rate, align, data
 
 
-def decode(media: bytes) -> tuple[np.ndarray, int]:
-    """PCM samples and rate of a mu-law, A-law, IMA ADPCM, 8-bit or 16-bit WAV file."""
-    form, rate, align, data = read_wav(media)
+def samples(form: int, rate: int, align: int, data: bytes) -> np.ndarray:
+    """The PCM samples of mu-law, A-law, IMA ADPCM, 8-bit or 16-bit sample bytes."""
     raw = np.frombuffer(data, dtype=np.uint8)
     if form == MULAW:
-        return MULAW_TABLE[raw], rate
+        return MULAW_TABLE[raw]
     if form == ALAW:
-        return ALAW_TABLE[raw], rate
+        return ALAW_TABLE[raw]
     if form == IMA:
         whole = len(raw) // align * align
-        return decode_ima(raw[:whole].reshape(-1, align)).reshape(-1), rate
+        return decode_ima(raw[:whole].reshape(-1, align)).reshape(-1)
     if align == 2:
-        return np.frombuffer(data[: len(data) // 2 * 2], dtype="<i2"), rate
-    return ((raw.astype(np.int16) - 128) << 8).astype(np.int16), rate
+        return np.frombuffer(data[: len(data) // 2 * 2], dtype="<i2")
+    return ((raw.astype(np.int16) - 128) << 8).astype(np.int16)
+
+
+def decode(media: bytes) -> tuple[np.ndarray, int]:
+    """PCM samples and rate of a WAV file."""
+    form, rate, align, data = read_wav(media)
+    return samples(form, rate, align, data), rate
 
 
 def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,16 +191,37 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)
 
 
+def decode_all(media: list[bytes], rate: int) -> tuple[list[bytes], list[bytes]]:
+    """The sample bytes of each WAV file, and its signal at the new rate as little-endian 16-bit PCM; files of one rate are resampled together."""
+    raw = [read_wav(m) for m in media]
+    out = [b""] * len(media)
+    by: dict[int, list[int]] = {}
+    for i, (_, src, _, _) in enumerate(raw):
+        by.setdefault(src, []).append(i)
+    for src, own in by.items():
+        signals = [samples(*raw[i]) for i in own]
+        got, n = resample_all(np.concatenate(signals), np.array([len(x) for x in signals]), src, rate)
+        data, end = got.astype("<i2").tobytes(), 2 * np.cumsum(n)
+        for i, a, e in zip(own, np.concatenate([[0], end[:-1]]).tolist(), end.tolist(), strict=True):
+            out[i] = data[a:e]
+    return [x[3] for x in raw], out
+
+
 def pcm_column(media: DataFrame, rate: int = 16000, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """id, rate, pcm: each media value decoded, resampled and stored as little-endian 16-bit PCM; a null value stays null."""
+    """The rows with pcm_rate and pcm behind their columns: each media value decoded, resampled and as little-endian 16-bit PCM; a null value stays null."""
+    at = media.columns.index(media_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 64):
-            out = [None if m is None else resample(*decode(m), rate).astype("<i2").tobytes() for m in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([rate] * b.num_rows, pa.int32()), pa.array(out, pa.binary())], ["id", "rate", "pcm"])
+        for b in by_bytes(batches, media_col, 1 << 19):
+            values = b.column(at).to_pylist()
+            some = [i for i, m in enumerate(values) if m is not None]
+            out: list[bytes | None] = [None] * len(values)
+            if some:
+                for i, x in zip(some, decode_all([values[i] for i in some], rate)[1], strict=True):
+                    out[i] = x
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([rate] * b.num_rows, pa.int32()), pa.array(out, pa.binary())], [*b.schema.names, "pcm_rate", "pcm"])
 
-    kind = media.schema[id_col].dataType.simpleString()
-    return media.select(media[id_col].alias("id"), media[media_col].alias("media")).mapInArrow(run, f"id {kind}, rate int, pcm binary").withColumnRenamed("id", id_col)
+    return media.mapInArrow(run, StructType(list(media.schema.fields)).add("pcm_rate", "integer").add("pcm", "binary"))
 
 
 def features(payloads: list[bytes]) -> list[str]:
@@ -157,21 +242,24 @@ def features(payloads: list[bytes]) -> list[str]:
         flips[1:] = (wide[1:] < 0) != (wide[:-1] < 0)
         flips[first] = False
         parts.append([f"{name}:{x}:{y}:{z}" for x, y, z in zip(power, peak, np.add.reduceat(flips, first, dtype=np.int64), strict=True)])
-    half = [f"half:{zlib.crc32(resample(MULAW_TABLE[np.frombuffer(p, dtype=np.uint8)], RATE, RATE // 2).tobytes())}" for p in payloads]
-    return ["|".join(x) for x in zip(*parts, half, strict=True)]
+    return ["|".join(x) for x in zip(*parts, strict=True)]
 
 
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's digest of every text stored as mu-law media and read back from the stored bytes."""
-    media = encode_media(table(spark, sf_dir, "documents"))
+    """The contract's digest: every text is written as mu-law media, with its signal resampled to STORED_RATE as PCM beside it,
+    to Parquet in the shared folder; both are read back from there, and the feature's last part is the stored PCM's checksum.
+
+    Null and empty texts are 64 zero bytes; repeated rows give repeated results; an empty table gives an empty one.
+    """
+    media = stored(pcm_column(encode_media(table(spark, sf_dir, "documents")), STORED_RATE), "telephony", "zstd")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for b in by_bytes(batches, "media", 1 << 20):
-            media = b.column(2).to_pylist()
+            media, pcm = b.column(2).to_pylist(), b.column(4).to_pylist()
             payloads = [read_wav(m)[3] for m in media]
-            rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), f) for p, m, f in zip(payloads, media, features(payloads), strict=True)]
+            rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), f"{f}|pcm:{len(x) // 2}:{zlib.crc32(x)}") for p, m, f, x in zip(payloads, media, features(payloads), pcm, strict=True)]
             cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names)
 

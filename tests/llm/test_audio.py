@@ -1,9 +1,11 @@
 import hashlib
+import math
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from quire.llm.audio import ALAW, ALAW_TABLE, IMA, IMA_INDEX, IMA_STEPS, MULAW, MULAW_TABLE, decode, decode_ima, encode_media, op9_telephony, pcm_column, read_wav, resample, wav
+from quire.llm.audio import ALAW, ALAW_TABLE, IMA, IMA_INDEX, IMA_STEPS, LOBES, MULAW, MULAW_TABLE, PCM, STORED_RATE, decode, decode_ima, encode_media, op9_telephony, pcm_column, read_wav, resample, resample_all, wav
 
 
 def test_tables():
@@ -35,6 +37,67 @@ def test_wav_round_trip():
     assert len(resample(np.arange(10, dtype=np.int16), 8000, 16000)) == 20
 
 
+def chunks(media):
+    at, out = 12, {}
+    while at < len(media):
+        size = int.from_bytes(media[at + 4 : at + 8], "little")
+        out[media[at : at + 4]] = media[at + 8 : at + 8 + size]
+        at += 8 + size + (size & 1)
+    return out
+
+
+def test_formats_other_than_pcm_have_extension_and_fact():
+    got = chunks(wav(b"abc", MULAW))
+    assert len(got[b"fmt "]) == 18 and int.from_bytes(got[b"fact"], "little") == 3 and got[b"data"] == b"abc"
+    got = chunks(wav(bytes(128), IMA, bits=4, align=64))
+    assert len(got[b"fmt "]) == 20 and int.from_bytes(got[b"fact"], "little") == 2 * 121
+    got = chunks(wav(b"abcd", PCM, bits=16, align=2))
+    assert len(got[b"fmt "]) == 16 and b"fact" not in got
+
+
+def plain_resample(x, src, dst):
+    """One sample at a time, from the filter's definition."""
+    g = math.gcd(src, dst)
+    up, down = dst // g, src // g
+    wide = max(1.0, down / up)
+    half = math.ceil(LOBES * wide)
+    out = []
+    for i in range(max(1, len(x) * up // down) if len(x) else 0):
+        at, phase = divmod(i * down, up)
+        h = [0.9 * np.sinc(0.9 * (k - phase / up) / wide) * (0.5 + 0.5 * math.cos(math.pi * (k - phase / up) / wide / LOBES) if abs(k - phase / up) < LOBES * wide else 0) for k in range(-half + 1, half + 1)]
+        q = [math.floor(v / sum(h) * (1 << 14) + 0.5) for v in h]
+        q[half - 1] += (1 << 14) - sum(q)
+        total = sum(c * int(x[at + k]) for c, k in zip(q, range(-half + 1, half + 1), strict=True) if 0 <= at + k < len(x))
+        out.append(max(-32768, min(32767, (total + (1 << 13)) >> 14)))
+    return out
+
+
+def test_resampling_equals_one_sample_at_a_time():
+    rng = np.random.default_rng(3)
+    signals = [rng.integers(-32768, 32768, n).astype(np.int16) for n in (0, 1, 2, 64, 127)]
+    for src, dst in ((8000, 4000), (8000, 16000), (8000, 8000), (11025, 8000), (8000, 6000)):
+        got, n = resample_all(np.concatenate(signals), np.array([len(x) for x in signals]), src, dst)
+        want = [x.tolist() if src == dst else plain_resample(x, src, dst) for x in signals]
+        assert n.tolist() == [len(x) for x in want]
+        diff = np.abs(got.astype(int) - np.array([v for x in want for v in x], dtype=int))
+        assert diff.max() <= 1  # floats of the filter may round the other way
+
+
+def test_the_filter_stops_what_the_lower_rate_cannot_hold():
+    t = np.arange(4000) / 8000
+    low, high = (np.round(20000 * np.sin(2 * np.pi * f * t)).astype(np.int16) for f in (500, 3500))
+    assert np.abs(resample(low, 8000, 4000)[100:-100]).max() > 19000 and np.abs(resample(high, 8000, 4000)[100:-100]).max() < 300
+
+
+def plain_feature(payload):
+    parts = []
+    blocks = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+    for name, pcm in (("mu", [int(MULAW_TABLE[x]) for x in payload]), ("a", [int(ALAW_TABLE[x]) for x in payload]), ("ima", [int(x) for x in decode_ima(blocks).ravel()])):
+        parts.append(f"{name}:{sum(x * x for x in pcm) // len(pcm)}:{max(map(abs, pcm))}:{sum((x < 0) != (y < 0) for x, y in zip(pcm, pcm[1:], strict=False))}")
+    low = resample(MULAW_TABLE[np.frombuffer(payload, np.uint8)], 8000, STORED_RATE)
+    return "|".join([*parts, f"pcm:{len(low)}:{zlib.crc32(low.astype('<i2').tobytes())}"])
+
+
 def test_query(spark, odd, none, clashing, write, tmp_path):
     got = op9_telephony(spark, write(documents=odd)).collect()
     assert len(got) == 14
@@ -44,7 +107,10 @@ def test_query(spark, odd, none, clashing, write, tmp_path):
         raw = text.encode()
         want = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
+        assert r.media_bytes == len(wav(want, MULAW)) and r.feature == plain_feature(want)
         assert by_text.setdefault(text, (r.media_bytes, r.media_sha256, r.feature)) == (r.media_bytes, r.media_sha256, r.feature)
     assert encode_media(none).collect() == []
     assert encode_media(clashing).count() == 14
-    assert len(pcm_column(encode_media(odd)).first().pcm) % 2 == 0
+    both = pcm_column(encode_media(odd).withColumn("media", F.when(F.col("doc_id") != 1, F.col("media"))).withColumn("rate", F.lit("clash"))).collect()
+    assert all((r.pcm is None) == (r.media is None) and r.pcm_rate == 16000 and r.rate == "clash" for r in both)
+    assert all(len(r.pcm) == 4 * len(read_wav(r.media)[3]) for r in both if r.media is not None)
