@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from quire.llm import substring
-from quire.llm.substring import FMIndex, WaveletMatrix, dedup_substrings, op4_substring_dedup
+from quire.llm.substring import FMIndex, WaveletMatrix, code_lengths, dedup_substrings, op4_substring_dedup
 
 
 def brute(rows, k=13):
@@ -26,28 +26,58 @@ def brute(rows, k=13):
     return sorted(out, key=str)
 
 
-def test_wavelet_rank():
-    seq = np.random.default_rng(3).integers(0, 40, 1000)
-    w = WaveletMatrix(seq, 40)
-    for c in (0, 7, 39):
+@pytest.mark.parametrize("n_symbols", [1, 2, 40, 3000])
+def test_wavelet_rank(n_symbols):
+    rng = np.random.default_rng(3)
+    seq = np.minimum(rng.geometric(0.05, 3000), n_symbols) - 1 if n_symbols < 3000 else rng.permutation(3000)
+    w = WaveletMatrix(seq, n_symbols - 1)
+    for c in sorted({int(seq[0]), int(seq.max()), int(np.bincount(seq).argmax()), int(seq[77])}):
         zero = w.descend(np.array([c]), np.array([0]))[0]
-        for at in (0, 1, 63, 64, 65, 500, 1000):
-            assert w.descend(np.array([c]), np.array([at]))[0] - zero == (seq[:at] == c).sum()
+        at = np.array([0, 1, 63, 64, 65, 511, 512, 513, 1000, 2999, 3000])
+        assert (w.descend(np.full(len(at), c), at) - zero).tolist() == [(seq[:x] == c).sum() for x in at]
 
 
-def test_backward_search_finds_every_occurrence():
+def test_codes_are_huffmans():
+    """A prefix code of the least total length, and the matrix holds that many bits."""
+    rng = np.random.default_rng(1)
+    for n in (2, 3, 10, 200):
+        count = rng.integers(1, 1000, n)
+        size = code_lengths(count)
+        heap = count.tolist()
+        least = 0
+        while len(heap) > 1:
+            heap.sort()
+            least += heap[0] + heap[1]
+            heap = [heap[0] + heap[1], *heap[2:]]
+        assert (count * size).sum() == least and np.isclose((0.5**size).sum(), 1)
+        w = WaveletMatrix(rng.permutation(np.repeat(np.arange(n), count)), n - 1)
+        words = {format(int(c), f"0{k}b") for c, k in zip(w.code, w.length, strict=True)}
+        assert len(words) == n and not any(x != y and y.startswith(x) for x in words for y in words)
+        assert sum(len(b) for b in w.bits) * 64 < least + 512 * w.levels + 64
+
+
+def test_matching_statistics_equal_plain_search():
     rng = np.random.default_rng(4)
-    texts = [rng.integers(1, 5, rng.integers(13, 40)).astype(np.uint64) for _ in range(60)]
-    index = FMIndex(np.concatenate(texts), np.array([len(t) for t in texts]), np.arange(60))
-    for length in (1, 3, 6, 13):
-        for t in texts[:20]:
-            p = t[:length]
-            lo, hi = index.intervals(index.symbols(p)[None, :])
-            where = [i for i, x in enumerate(texts) for j in range(len(x) - length + 1) if (x[j : j + length] == p).all()]
-            assert hi[0] - lo[0] == len(where)
-            assert index.least(lo, hi, -1)[0] == min(where)
-    lo, hi = index.intervals(np.array([[0, 1]]))
-    assert lo[0] == hi[0]
+    texts = [rng.integers(1, 4, rng.integers(5, 21)).astype(np.uint64) for _ in range(50)]
+    value = rng.permutation(50) * 10
+    index = FMIndex(np.concatenate(texts), np.array([len(t) for t in texts]), value)
+    k = 4
+    syms = index.symbols(np.concatenate(texts))
+    base = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    row = np.concatenate([np.full(len(t) - k + 1, i) for i, t in enumerate(texts)])
+    end = np.concatenate([base[i] + np.arange(k - 1, len(t)) for i, t in enumerate(texts)])
+    limit = value[row]
+    got, least = index.matching(syms, base[row], end, limit, k, -1)
+
+    def holders(p):
+        return [int(value[i]) for i, x in enumerate(texts) if any((x[j : j + len(p)] == p).all() for j in range(len(x) - len(p) + 1))]
+
+    for r, e, n, v in zip(row.tolist(), end.tolist(), got.tolist(), least.tolist(), strict=True):
+        t, at = texts[r], e - int(base[r]) + 1
+        want = max((m for m in range(k, at + 1) if min(holders(t[at - m : at])) < value[r]), default=0)
+        assert n == want
+        if want:
+            assert v == min(holders(t[at - k : at]))
 
 
 def passages(seed, n=60):
@@ -64,19 +94,50 @@ def passages(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_dedup_equals_brute_force(spark, monkeypatch, hot):
-    if hot:  # segments of one anchor split over several indexes; several shards
-        monkeypatch.setattr(substring, "SHARD_SEGMENTS", 2)
+def plain(got):
+    for r in got:
+        assert sum(x.end - x.start for x in r.spans) == r.n_removed and all(a.end < b.start for a, b in zip(r.spans, r.spans[1:], strict=False))
+    return sorted((tuple(r)[:4] for r in got), key=str)
+
+
+@pytest.mark.parametrize("shard", [20_000, 6, 2])
+def test_dedup_equals_brute_force(spark, monkeypatch, shard):
+    """Few segments a shard: anchors are dealt by window, segments of several batches are merged."""
+    monkeypatch.setattr(substring, "SHARD_SEGMENTS", shard)
+    monkeypatch.setattr(substring, "MERGE_ABOVE", 1)
     rows = passages(1) + [(200 + i, "a b " * 40) for i in range(8)]
+    got = dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)).collect()
+    assert plain(got) == brute(rows)
+
+
+def test_a_segment_of_many_batches_is_one_row(spark, monkeypatch):
+    """Boilerplate in a batch for each row: before its shard it has few rows however many batches there are."""
+    rng = random.Random(6)
+    line = " ".join(f"b{i}" for i in range(30))
+    rows = [(i, " ".join(f"u{rng.random()}" for _ in range(13)) + " " + line) for i in range(400)]
+    monkeypatch.setattr(substring, "by_bytes", lambda batches, column, limit: (b.slice(i, 1) for b in batches for i in range(b.num_rows)))
+    seen = []
+    search = substring.search_shards
+    monkeypatch.setattr(substring, "_in_bitmap", spy(substring._in_bitmap, seen))
     got = dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert plain(got) == brute(rows) and search is substring.search_shards
+    assert seen and max(seen) <= substring.MERGE_ABOVE
+
+
+def spy(f, seen):
+    def run(rows, column, bits, wanted):
+        out = f(rows, column, bits, wanted)
+        if column == "seg" and not wanted:
+            seen.append(out.groupBy("seg").count().agg({"count": "max"}).first()[0] or 0)
+        return out
+
+    return run
 
 
 def test_odd_rows(spark, odd, none, clashing, write):
     want = brute([(r.doc_id, r.text) for r in odd.collect()])
-    assert sorted(map(tuple, dedup_substrings(odd).collect()), key=str) == want
-    assert sorted(map(tuple, dedup_substrings(clashing).collect()), key=str) == want
+    assert plain(dedup_substrings(odd).collect()) == want
+    assert plain(dedup_substrings(clashing).collect()) == want
     assert dedup_substrings(none).collect() == []
     got = op4_substring_dedup(spark, write(documents=odd)).collect()
     assert sorted((r.n_removed, r.kept_sha256) for r in got) == sorted((n, hashlib.sha256(k.encode()).hexdigest()) for _, _, n, k in want)
