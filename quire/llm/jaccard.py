@@ -7,7 +7,8 @@ sizes, and each set stands in its own class and, as a low one, in the next. Orde
 and differ in the hash that orders a class. A parity bitmap bounds the difference of two sets from
 below. What is left is verified on whole sets: first a star of links for each document, then only the
 candidates whose ends are still apart. A prefix token of many documents is gone through twice: at first
-each document takes one candidate there, and once those are joined, only pairs still apart are made.
+each document takes one candidate in its block there, the blocks' components are joined by one document of each, as often as
+that finds links, and then only pairs still apart are made.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm import bitmap
-from quire.llm._shared import by_bytes, stored, table
+from quire.llm._shared import by_bytes, forget, stored, table
 from quire.llm.graph import components
 from quire.llm.wordhash import mix, shingle_sets
 
@@ -32,12 +33,14 @@ COUNT_AT_ONCE, TASK_COUNT, TOTAL_COUNT = 1 << 21, 2, 4
 FREQUENT_MAX = 1 << 20
 #: Bits of a set's parity bitmap, and of its folded form that travels with every prefix token.
 BITS, FOLDED = 1024, 256
-#: Rows of one block of a prefix token; more are split into blocks, and each pair of blocks is its own key.
+#: Rows of one block of a prefix token of many documents; more are split into blocks.
 BLOCK = 512
 #: A prefix token of more rows than this is one of many documents.
 MANY = 24
 #: Leading bits of a prefix token's hash that name its bucket are chosen for about so many rows in each.
 ROWS_PER_BUCKET = 1 << 18
+#: Keys that a task holds before it passes them on.
+HELD_KEYS = 1 << 20
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, 16, dtype=np.uint64)
 
 
@@ -70,8 +73,9 @@ def frequent_tokens(docs: DataFrame, words: int, lower: bool) -> tuple[np.ndarra
         if total + n > FREQUENT_MAX:
             break
         least, total = c, total + n
-    got = counted.filter(F.col("cls") >= least).toPandas()
-    tok, cls = got["tok"].to_numpy(dtype=np.int64).view(np.uint64), got["cls"].to_numpy(dtype=np.uint8)
+    got = counted.filter(F.col("cls") >= least).toArrow()
+    forget(counted)
+    tok, cls = got["tok"].to_numpy().view(np.uint64), got["cls"].to_numpy().astype(np.uint8)
     order = np.argsort(tok)
     return tok[order], cls[order]
 
@@ -137,30 +141,45 @@ def class_keys(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def shared_prefix_tokens(prof: DataFrame, bounds: np.ndarray) -> np.ndarray:
-    """A bitmap of the keys of prefix tokens that two different sets hold. Keys travel packed with 4 bytes of their set's digest."""
+    """A bitmap of the keys of prefix tokens that two different sets hold. Keys travel packed with 4 bytes of their set's digest,
+    those of about HELD_KEYS at a time with two sets each at most: more tell no more. So a bucket holds few rows of any key."""
     total = prof.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    r = int(np.clip(np.ceil(np.log2(max(1, total / 4 / ROWS_PER_BUCKET))), 4, 16))
+    r = max(8, int(np.ceil(np.log2(max(1, total / 4 / ROWS_PER_BUCKET)))))
     kind = np.dtype([("key", "<u8"), ("set", "<u4")])
 
     def tidy(key: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted by key, then set; each once."""
+        """Sorted by key, then set; each once, and two sets of a key at most."""
         o = np.lexsort((of, key))
         key, of = key[o], of[o]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]) if len(key) else np.zeros(0, dtype=bool)
-        return key[new], of[new]
+        key, of = key[new], of[new]
+        third = np.zeros(len(key), dtype=bool)
+        third[2:] = key[2:] == key[:-2]
+        return key[~third], of[~third]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            key, of = tidy(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            rows = np.empty(len(key), dtype=kind)
+            rows["key"], rows["set"] = key, of
+            cut = np.searchsorted(key >> np.uint64(64 - r), np.arange((1 << r) + 1, dtype=np.uint64))
+            some = np.flatnonzero(np.diff(cut))
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], ["bucket", "rows"])
+
         for b in batches:
             raw = b.column(2).to_pylist()
             size = np.array([len(x) // 8 for x in raw], dtype=np.int64)
             tok, of = np.frombuffer(b"".join(raw), dtype=np.uint64), np.repeat(b.column(1).to_numpy().view(np.uint64), size).astype(np.uint32)
             cls = np.repeat(np.searchsorted(bounds, b.column(0).to_numpy(), side="right"), size)
-            key, of = tidy(np.concatenate([class_keys(tok, cls), class_keys(tok, cls + 1)]), np.concatenate([of, of]))
-            rows = np.empty(len(key), dtype=kind)
-            rows["key"], rows["set"] = key, of
-            cut = np.searchsorted(key >> np.uint64(64 - r), np.arange((1 << r) + 1, dtype=np.uint64))
-            some = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], ["bucket", "rows"])
+            held += [(class_keys(tok, cls), of), (class_keys(tok, cls + 1), of)]
+            n += 2 * len(tok)
+            if n >= HELD_KEYS:
+                yield flush()
+                held, n = [], 0
+        if n:
+            yield flush()
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
         rows = np.concatenate([np.frombuffer(x, dtype=kind) for x in part["rows"]])
@@ -169,7 +188,9 @@ def shared_prefix_tokens(prof: DataFrame, bounds: np.ndarray) -> np.ndarray:
 
     packed = prof.filter("id is not null and n > 0").select("n", "d1", "prefix").mapInArrow(pack, "bucket int, rows binary")
     both = stored(packed.groupBy("bucket").applyInPandas(join, "h bigint"), "shared-tokens")
-    return bitmap.build(both, both.count(), 128)
+    out = bitmap.build(both, both.count(), 128)
+    forget(both)
+    return out
 
 
 def _pairs_in_runs(num: int, den: int, star: bool):
@@ -264,17 +285,59 @@ class Candidates:
         some = named.mapInArrow(own_keys, "id bigint, n bigint, d1 bigint, d2 bigint, bitmap binary, high array<bigint>, low array<bigint>")
         reps = some.groupBy("d1", "d2").agg(F.min_by(F.struct("id", "n", "bitmap", "high", "low"), "id").alias("r"))
         self.reps = stored(reps.select("r.*"), "representatives")
+        shared.destroy()
         rows = self.reps.select(F.explode("high").alias("key"), F.lit(1).alias("h")).unionByName(self.reps.select(F.explode("low").alias("key"), F.lit(0).alias("h")))
         self.count = stored(rows.groupBy("key").agg(F.count("*").alias("m"), F.max("h").alias("h")).filter("m > 1 and h > 0").select("key", "m"), "prefix-keys")
 
-    def pairs(self, groups: DataFrame | None = None) -> DataFrame:
-        """Pairs a < b. groups (node, component): only pairs apart, at keys of many documents; else one partner for each document there, and all pairs elsewhere."""
-        count = self.count if groups is None else self.count.filter(F.col("m") > MANY)
+    def forget(self) -> None:
+        forget(self.reps, self.count)
+
+    def most(self) -> int:
+        """The documents of the commonest key."""
+        return self.count.agg(F.max("m")).first()[0] or 0
+
+    def places(self, groups: DataFrame | None, star: bool) -> DataFrame:
+        """id, key, component, and where the document stands among the blocks of the key: many (whether that has blocks at all),
+        own block, and total: it meets all blocks from 0 to total but those from first to end; with a total of -1 its own only.
+
+        In a star a key's documents, or one of each component, are dealt to blocks, and each block is a world of its own: what
+        several rounds leave apart is few. Otherwise keys of one component are left out. Small components share blocks and
+        stay whole; a component larger than a block gets blocks of its own, which need not meet each other. So the rows
+        written grow with the pairs that are looked at, not with the square of a component.
+        """
+        if groups is None:
+            count = self.count
+        else:
+            count = self.count.filter(F.col("m") > (BLOCK if star else MANY))
         rows = self.reps.select("id", F.explode(F.concat("high", "low")).alias("key")).join(count, "key")
-        mine = rows.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("key", "m"))).alias("m"))
+        blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.lit(1)).cast("int")
+        number = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        none = F.lit(0)
+        if groups is None:
+            many = F.col("m") > MANY
+            rows = rows.withColumn("blocks", blocks).withColumn("component", F.lit(0).cast("bigint"))
+            return rows.select("id", "key", "component", many.alias("many"), F.when(many, number).otherwise(none).alias("own"), none.alias("first"), none.alias("end"), F.lit(-1).alias("total"))
+        rows = rows.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        if star:
+            one = rows.groupBy("key", "component").agg(F.min("id").alias("id"))
+            left = one.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").withColumn("blocks", blocks)
+            return one.join(left, "key").select("id", "key", "component", F.lit(True).alias("many"), number.alias("own"), none.alias("first"), none.alias("end"), F.lit(-1).alias("total"))
+        sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c")).withColumn("b", F.when(F.col("c") > BLOCK, F.ceil(F.col("c") / BLOCK)).otherwise(0).cast("int"))
+        whole, before = Window.partitionBy("key"), Window.partitionBy("key").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+        small = F.ceil(F.sum(F.when(F.col("b") == 0, F.col("c")).otherwise(0)).over(whole) / BLOCK).cast("int")
+        sizes = sizes.select("key", "component", "b", F.count("*").over(whole).alias("components"), small.alias("small"), F.coalesce(F.sum("b").over(before), none).cast("int").alias("ahead"), F.sum("b").over(whole).cast("int").alias("big"))
+        sizes = sizes.filter("components > 1").withColumn("first", F.when(F.col("b") > 0, F.col("small") + F.col("ahead")).otherwise(0)).withColumn("end", F.col("first") + F.col("b"))
+        own = F.when(F.col("b") > 0, F.col("first") + F.pmod(F.xxhash64("id"), F.greatest("b", F.lit(1))).cast("int")).otherwise(F.pmod(F.xxhash64("component"), F.greatest("small", F.lit(1))).cast("int"))
+        return rows.join(sizes, ["key", "component"]).select("id", "key", "component", F.lit(True).alias("many"), own.alias("own"), "first", "end", (F.col("small") + F.col("big")).alias("total"))
+
+    def pairs(self, groups: DataFrame | None = None, star: bool = True) -> DataFrame:
+        """Stored pairs a < b. A star: one partner for each document in its block at a key of many documents, and all pairs at the
+        other keys; with groups (node, component) one document stands for each component, at keys of more than a block. Not
+        a star: all pairs that are apart in groups, at keys of many documents."""
+        place = self.places(groups, star)
+        mine = place.groupBy("id").agg(F.first("component").alias("component"), F.map_from_entries(F.collect_set(F.struct("key", F.struct("many", "own", "first", "end", "total")))).alias("m"))
         wide = self.reps.join(mine, "id")
-        wide = wide.withColumn("component", F.lit(0).cast("bigint")) if groups is None else wide.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        apart = groups is not None  # a pair is then made at its first common key only
+        apart = not star  # a pair is then made at its first common key only
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_()]
         names = ["key", "bi", "bj", "many", "own", "n", "id", "bitmap", "before", "component", "low"]
 
@@ -291,22 +354,22 @@ class Candidates:
                         keys = [k for k in keys if k in m]
                         packed = np.array(keys, dtype=np.int64)
                         for at, key in enumerate(keys):
-                            blocks = max(1, -(-m[key] // BLOCK))
-                            own = int(mix(np.array([doc], dtype=np.int64).view(np.uint64))[0] % np.uint64(blocks)) if blocks > 1 else 0
+                            many, own, first, end, total = m[key].values()
                             before = packed[:at].tobytes() if apart else b""
-                            for other in range(blocks):
-                                for col, v in zip(out, (key, min(own, other), max(own, other), m[key] > MANY, own, n, doc, bits, before, comp, is_low), strict=True):
-                                    col.append(v)
-                    if len(out[0]) >= 4096:
-                        yield flush()
-                        out = [[] for _ in kinds]
+                            for other in range(total) if total >= 0 else (own,):
+                                if not first <= other < end:
+                                    for col, v in zip(out, (key, min(own, other), max(own, other), many, own, n, doc, bits, before, comp, is_low), strict=True):
+                                        col.append(v)
+                            if len(out[0]) >= 4096:
+                                yield flush()
+                                out = [[] for _ in kinds]
                 if out[0]:
                     yield flush()
 
         keyed = wide.select("id", "n", "bitmap", "high", "low", "m", "component").mapInArrow(spread, "key bigint, bi int, bj int, many boolean, own int, n bigint, id bigint, bitmap binary, before binary, component bigint, low boolean")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         runs = keyed.repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "n", "id")
-        pairs = stored(runs.mapInArrow(_pairs_in_runs(self.num, self.den, groups is None), "a bigint, b bigint").distinct(), "pairs")
+        pairs = stored(runs.mapInArrow(_pairs_in_runs(self.num, self.den, star), "a bigint, b bigint").distinct(), "pairs")
         num, den = self.num, self.den
 
         def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +381,9 @@ class Candidates:
 
         own = self.reps.select("id", "bitmap", "n")
         both = pairs.join(own.toDF("a", "xa", "na"), "a").join(own.toDF("b", "xb", "nb"), "b").select("a", "b", "xa", "xb", (F.col("na") + F.col("nb")).alias("n"))
-        return stored(both.mapInArrow(close, "a bigint, b bigint").distinct(), "pairs")
+        out = stored(both.mapInArrow(close, "a bigint, b bigint").distinct(), "pairs")
+        forget(pairs)
+        return out
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -343,10 +408,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     copies = prof.filter("id is not null and n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     found = Candidates(prof, num, den)
     usable = rows.filter("id is not null and text is not null").withColumn("h", F.xxhash64("id"))
+    done: list[DataFrame] = []  # stored tables to delete in the end
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        done.append(stored(df, tag))
+        return done[-1]
 
     def checked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The pairs that share a prefix token in each further order too, and the whole sets of their documents."""
-        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+        ids = kept(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
         wanted = docs.sparkSession.sparkContext.broadcast(bitmap.build(ids.select(F.xxhash64("id")), ids.count(), 256))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,26 +426,46 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.list_(pa.int64())))], ["id", "set", "prefixes"])
 
         sets = usable.mapInArrow(whole, "id bigint, set array<bigint>, prefixes array<array<bigint>>").filter(F.size("set") > 0)
-        sets = stored(sets.join(ids, "id", "left_semi"), "sets")
+        sets = kept(sets.join(ids, "id", "left_semi"), "sets")
+        wanted.destroy()
         p = sets.select("id", "prefixes")
         both = pairs.join(p.toDF("a", "pa"), "a").join(p.toDF("b", "pb"), "b")
         for k in range(orders - 1):
             both = both.filter(F.arrays_overlap(F.col("pa")[k], F.col("pb")[k]))
-        return stored(both.select("a", "b").distinct(), "pairs"), sets.select("id", "set")
+        return kept(both.select("a", "b").distinct(), "pairs"), sets.select("id", "set")
+
+    def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        done.append(_linked(pairs, sets, num, den))
+        return done[-1]
 
-    pairs, sets = checked(found.pairs())
+    done.append(found.pairs())
+    pairs, sets = checked(done[-1])
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     star = both.groupBy("a").agg(F.min("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    now = stored(components(_linked(star, sets, num, den)), "components")
+    now = kept(components(linked(star, sets)), "components")
     apart = pairs.join(now.toDF("a", "ca"), "a", "left").join(now.toDF("b", "cb"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    links = now.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_linked(apart, sets, num, den))
-    if not found.count.filter(F.col("m") > MANY).isEmpty():
-        more = found.pairs(stored(components(links), "components"))
-        if not more.isEmpty():
-            links = links.unionByName(_linked(*checked(more), num, den))
+    links = now.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked(apart, sets))
+    most = found.most()
+    if most > MANY:
+        groups = kept(components(links), "components")
+        while most > BLOCK:  # the blocks of a large group of copies found each its own component: join these, again in blocks
+            done.append(found.pairs(groups))
+            if done[-1].isEmpty():
+                break
+            new = linked(*checked(done[-1]))
+            if new.isEmpty():
+                break
+            groups = kept(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)), "components")
+        links = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        done.append(found.pairs(groups, star=False))
+        if not done[-1].isEmpty():
+            links = links.unionByName(linked(*checked(done[-1])))
     same = prof.filter("id is not null and n > 0").join(copies, ["d1", "d2"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     # a copy's id links to its least id; only ids that carry several texts make that more than a star
     final = stored(components(links.unionByName(same)), "components")
+    frequent.destroy()
+    found.forget()
+    forget(*done)
     out = prof.select("id", "n").join(final.withColumnRenamed("node", "id"), "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 

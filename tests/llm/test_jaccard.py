@@ -55,12 +55,39 @@ def test_components_equal_brute_force(spark, words, num, den):
 
 def test_blocks_of_a_hot_token(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "MANY", 3)
+    monkeypatch.setattr(jaccard, "HELD_KEYS", 500)
     monkeypatch.setattr(jaccard, "FREQUENT_MAX", 1)
     rows = near_copies(9, groups=3, size=30)
     got = jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 9, 10).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows, 3, 9, 10)
 
 
+def test_rows_of_one_component_are_not_written_again(spark, monkeypatch):
+    """A large group of near copies: each round writes few rows a document, and the exhaustive pass none once all are joined."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "MANY", 4)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        t[rng.randrange(60, 120)] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    written = []
+    places = jaccard.Candidates.places
+
+    def spy(self, groups, star):
+        out = places(self, groups, star)
+        written.append((star, out.count(), out.agg({"total": "max"}).first()[0]))
+        return out
+
+    monkeypatch.setattr(jaccard.Candidates, "places", spy)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 9, 10).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 3, 9, 10)
+    assert written[0][2] == -1 and written[-1][0] is False and written[-1][1] == 0
+
+
 def test_odd_rows(spark, odd, none, clashing):
     got = jaccard_components(odd, 3, 9, 10).collect()
     assert sorted(map(tuple, got), key=str) == brute([(r.doc_id, r.text) for r in odd.collect()], 3, 9, 10)
