@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm import bitmap
-from quire.llm._shared import by_bytes, forget, stored, table
+from quire.llm._shared import by_bytes, forget, slices, stored, table
 from quire.llm.graph import components
 from quire.llm.wordhash import mix, shingle_sets
 
@@ -40,7 +40,7 @@ MANY = 24
 #: Leading bits of a prefix token's hash that name its bucket are chosen for about so many rows in each.
 ROWS_PER_BUCKET = 1 << 18
 #: Keys that a task holds before it passes them on.
-HELD_KEYS = 1 << 20
+HELD_KEYS = 1 << 18
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, 16, dtype=np.uint64)
 
 
@@ -243,7 +243,7 @@ def _pairs_in_runs(num: int, den: int, star: bool):
         key, rows = None, []
         a: list[int] = []
         b: list[int] = []
-        for batch in batches:
+        for batch in slices(batches, 1024):
             for r in zip(*(batch.column(i).to_pylist() for i in range(11)), strict=True):
                 if r[:3] != key:
                     close(rows, a, b)
@@ -309,7 +309,7 @@ class Candidates:
             count = self.count
         else:
             count = self.count.filter(F.col("m") > (BLOCK if star else MANY))
-        rows = self.reps.select("id", F.explode(F.concat("high", "low")).alias("key")).join(count, "key")
+        rows = self.reps.select("id", F.explode(F.array_distinct(F.concat("high", "low"))).alias("key")).join(count, "key")
         blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.lit(1)).cast("int")
         number = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         none = F.lit(0)
@@ -335,7 +335,7 @@ class Candidates:
         other keys; with groups (node, component) one document stands for each component, at keys of more than a block. Not
         a star: all pairs that are apart in groups, at keys of many documents."""
         place = self.places(groups, star)
-        mine = place.groupBy("id").agg(F.first("component").alias("component"), F.map_from_entries(F.collect_set(F.struct("key", F.struct("many", "own", "first", "end", "total")))).alias("m"))
+        mine = place.groupBy("id").agg(F.first("component").alias("component"), F.collect_list(F.struct("key", "many", "own", "first", "end", "total")).alias("m"))
         wide = self.reps.join(mine, "id")
         apart = not star  # a pair is then made at its first common key only
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_()]
@@ -345,16 +345,19 @@ class Candidates:
             def flush() -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
 
-            for b in batches:
+            for b in slices(batches):
                 out: list[list] = [[] for _ in kinds]
-                for doc, n, bits, high, low, m, comp in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                    m = dict(m)
+                entries, cut = b.column(5).flatten(), np.diff(b.column(5).offsets.to_numpy())
+                cut = np.concatenate([[0], np.cumsum(cut)]).tolist()
+                key_of, *layout = (entries.field(i).to_numpy(zero_copy_only=False).tolist() for i in range(6))
+                for row, (doc, n, bits, high, low, comp) in enumerate(zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 6)), strict=True)):
+                    m = {key_of[i]: i for i in range(cut[row], cut[row + 1])}
                     bits = np.bitwise_xor.reduce(np.frombuffer(bits, dtype=np.uint64).reshape(BITS // FOLDED, -1), axis=0).tobytes()
                     for is_low, keys in ((False, high), (True, low)):
                         keys = [k for k in keys if k in m]
                         packed = np.array(keys, dtype=np.int64)
                         for at, key in enumerate(keys):
-                            many, own, first, end, total = m[key].values()
+                            many, own, first, end, total = (x[m[key]] for x in layout)
                             before = packed[:at].tobytes() if apart else b""
                             for other in range(total) if total >= 0 else (own,):
                                 if not first <= other < end:

@@ -30,7 +30,7 @@ ORDERS = (5, 4, 3, 2, 1)
 MIN_COUNT = 2
 UNKNOWN = "und"
 #: Words whose scores one worker remembers; the memory is emptied when full.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 80_000
 #: The order that stands for whole words in the tables.
 WHOLE = 0
 
