@@ -7,8 +7,8 @@ sizes, and each set stands in its own class and, as a low one, in the next. Orde
 and differ in the hash that orders a class. A parity bitmap bounds the difference of two sets from
 below. What is left is verified on whole sets: first a star of links for each document, then only the
 candidates whose ends are still apart. A prefix token of many documents is gone through twice: at first
-each document takes one candidate in its block there, the blocks' components are joined by one document of each, as often as
-that finds links, and then only pairs still apart are made.
+each document takes one candidate in each block there, and once those are joined, only pairs still apart are made, at the
+tokens whose documents are not all in one component.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bitmap
@@ -33,7 +33,7 @@ COUNT_AT_ONCE, TASK_COUNT, TOTAL_COUNT = 1 << 21, 2, 4
 FREQUENT_MAX = 1 << 20
 #: Bits of a set's parity bitmap, and of its folded form that travels with every prefix token.
 BITS, FOLDED = 1024, 256
-#: Rows of one block of a prefix token of many documents; more are split into blocks.
+#: Rows of one block of a prefix token; more are split into blocks, and each pair of blocks is its own key.
 BLOCK = 512
 #: A prefix token of more rows than this is one of many documents.
 MANY = 24
@@ -292,52 +292,21 @@ class Candidates:
     def forget(self) -> None:
         forget(self.reps, self.count)
 
-    def most(self) -> int:
-        """The documents of the commonest key."""
-        return self.count.agg(F.max("m")).first()[0] or 0
-
-    def places(self, groups: DataFrame | None, star: bool) -> DataFrame:
-        """id, key, component, and where the document stands among the blocks of the key: many (whether that has blocks at all),
-        own block, and total: it meets all blocks from 0 to total but those from first to end; with a total of -1 its own only.
-
-        In a star a key's documents, or one of each component, are dealt to blocks, and each block is a world of its own: what
-        several rounds leave apart is few. Otherwise keys of one component are left out. Small components share blocks and
-        stay whole; a component larger than a block gets blocks of its own, which need not meet each other. So the rows
-        written grow with the pairs that are looked at, not with the square of a component.
-        """
-        if groups is None:
-            count = self.count
-        else:
-            count = self.count.filter(F.col("m") > (BLOCK if star else MANY))
-        rows = self.reps.select("id", F.explode(F.array_distinct(F.concat("high", "low"))).alias("key")).join(count, "key")
-        blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.lit(1)).cast("int")
-        number = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        none = F.lit(0)
-        if groups is None:
-            many = F.col("m") > MANY
-            rows = rows.withColumn("blocks", blocks).withColumn("component", F.lit(0).cast("bigint"))
-            return rows.select("id", "key", "component", many.alias("many"), F.when(many, number).otherwise(none).alias("own"), none.alias("first"), none.alias("end"), F.lit(-1).alias("total"))
-        rows = rows.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        if star:
-            one = rows.groupBy("key", "component").agg(F.min("id").alias("id"))
-            left = one.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").withColumn("blocks", blocks)
-            return one.join(left, "key").select("id", "key", "component", F.lit(True).alias("many"), number.alias("own"), none.alias("first"), none.alias("end"), F.lit(-1).alias("total"))
-        sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c")).withColumn("b", F.when(F.col("c") > BLOCK, F.ceil(F.col("c") / BLOCK)).otherwise(0).cast("int"))
-        whole, before = Window.partitionBy("key"), Window.partitionBy("key").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
-        small = F.ceil(F.sum(F.when(F.col("b") == 0, F.col("c")).otherwise(0)).over(whole) / BLOCK).cast("int")
-        sizes = sizes.select("key", "component", "b", F.count("*").over(whole).alias("components"), small.alias("small"), F.coalesce(F.sum("b").over(before), none).cast("int").alias("ahead"), F.sum("b").over(whole).cast("int").alias("big"))
-        sizes = sizes.filter("components > 1").withColumn("first", F.when(F.col("b") > 0, F.col("small") + F.col("ahead")).otherwise(0)).withColumn("end", F.col("first") + F.col("b"))
-        own = F.when(F.col("b") > 0, F.col("first") + F.pmod(F.xxhash64("id"), F.greatest("b", F.lit(1))).cast("int")).otherwise(F.pmod(F.xxhash64("component"), F.greatest("small", F.lit(1))).cast("int"))
-        return rows.join(sizes, ["key", "component"]).select("id", "key", "component", F.lit(True).alias("many"), own.alias("own"), "first", "end", (F.col("small") + F.col("big")).alias("total"))
-
-    def pairs(self, groups: DataFrame | None = None, star: bool = True) -> DataFrame:
-        """Stored pairs a < b. A star: one partner for each document in its block at a key of many documents, and all pairs at the
-        other keys; with groups (node, component) one document stands for each component, at keys of more than a block. Not
-        a star: all pairs that are apart in groups, at keys of many documents."""
-        place = self.places(groups, star)
-        mine = place.groupBy("id").agg(F.first("component").alias("component"), F.collect_list(F.struct("key", "many", "own", "first", "end", "total")).alias("m"))
+    def apart_keys(self, groups: DataFrame) -> DataFrame:
+        """key, m of the keys of many documents that are not all in one component."""
+        rows = self.reps.select("id", F.explode(F.concat("high", "low")).alias("key")).join(self.count.filter(F.col("m") > MANY), "key")
+        rows = rows.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "m", F.coalesce("component", "id").alias("component"))
+        return stored(rows.groupBy("key", "m").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key", "m"), "apart-keys")
+
+    def pairs(self, groups: DataFrame | None = None) -> DataFrame:
+        """Stored pairs a < b. groups (node, component): only pairs apart, at keys of many documents in several components; else one
+        partner for each document in each block there, and all pairs elsewhere."""
+        count = self.count if groups is None else self.apart_keys(groups)
+        rows = self.reps.select("id", F.explode(F.concat("high", "low")).alias("key")).join(count, "key")
+        mine = rows.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("key", "m"))).alias("m"))
         wide = self.reps.join(mine, "id")
-        apart = not star  # a pair is then made at its first common key only
+        wide = wide.withColumn("component", F.lit(0).cast("bigint")) if groups is None else wide.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        apart = groups is not None  # a pair is then made at its first common key only
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_()]
         names = ["key", "bi", "bj", "many", "own", "n", "id", "bitmap", "before", "component", "low"]
 
@@ -347,32 +316,29 @@ class Candidates:
 
             for b in slices(batches):
                 out: list[list] = [[] for _ in kinds]
-                entries, cut = b.column(5).flatten(), np.diff(b.column(5).offsets.to_numpy())
-                cut = np.concatenate([[0], np.cumsum(cut)]).tolist()
-                key_of, *layout = (entries.field(i).to_numpy(zero_copy_only=False).tolist() for i in range(6))
-                for row, (doc, n, bits, high, low, comp) in enumerate(zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 6)), strict=True)):
-                    m = {key_of[i]: i for i in range(cut[row], cut[row + 1])}
+                for doc, n, bits, high, low, m, comp in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                    m = dict(m)
                     bits = np.bitwise_xor.reduce(np.frombuffer(bits, dtype=np.uint64).reshape(BITS // FOLDED, -1), axis=0).tobytes()
                     for is_low, keys in ((False, high), (True, low)):
                         keys = [k for k in keys if k in m]
                         packed = np.array(keys, dtype=np.int64)
                         for at, key in enumerate(keys):
-                            many, own, first, end, total = (x[m[key]] for x in layout)
+                            blocks = max(1, -(-m[key] // BLOCK))
+                            own = int(mix(np.array([doc], dtype=np.int64).view(np.uint64))[0] % np.uint64(blocks)) if blocks > 1 else 0
                             before = packed[:at].tobytes() if apart else b""
-                            for other in range(total) if total >= 0 else (own,):
-                                if not first <= other < end:
-                                    for col, v in zip(out, (key, min(own, other), max(own, other), many, own, n, doc, bits, before, comp, is_low), strict=True):
-                                        col.append(v)
-                            if len(out[0]) >= 4096:
-                                yield flush()
-                                out = [[] for _ in kinds]
+                            for other in range(blocks):
+                                for col, v in zip(out, (key, min(own, other), max(own, other), m[key] > MANY, own, n, doc, bits, before, comp, is_low), strict=True):
+                                    col.append(v)
+                    if len(out[0]) >= 4096:
+                        yield flush()
+                        out = [[] for _ in kinds]
                 if out[0]:
                     yield flush()
 
         keyed = wide.select("id", "n", "bitmap", "high", "low", "m", "component").mapInArrow(spread, "key bigint, bi int, bj int, many boolean, own int, n bigint, id bigint, bitmap binary, before binary, component bigint, low boolean")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         runs = keyed.repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "n", "id")
-        pairs = stored(runs.mapInArrow(_pairs_in_runs(self.num, self.den, star), "a bigint, b bigint").distinct(), "pairs")
+        pairs = stored(runs.mapInArrow(_pairs_in_runs(self.num, self.den, groups is None), "a bigint, b bigint").distinct(), "pairs")
         num, den = self.num, self.den
 
         def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,7 +351,7 @@ class Candidates:
         own = self.reps.select("id", "bitmap", "n")
         both = pairs.join(own.toDF("a", "xa", "na"), "a").join(own.toDF("b", "xb", "nb"), "b").select("a", "b", "xa", "xb", (F.col("na") + F.col("nb")).alias("n"))
         out = stored(both.mapInArrow(close, "a bigint, b bigint").distinct(), "pairs")
-        forget(pairs)
+        forget(pairs, None if groups is None else count)
         return out
 
 
@@ -448,19 +414,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     now = kept(components(linked(star, sets)), "components")
     apart = pairs.join(now.toDF("a", "ca"), "a", "left").join(now.toDF("b", "cb"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     links = now.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked(apart, sets))
-    most = found.most()
-    if most > MANY:
-        groups = kept(components(links), "components")
-        while most > BLOCK:  # the blocks of a large group of copies found each its own component: join these, again in blocks
-            done.append(found.pairs(groups))
-            if done[-1].isEmpty():
-                break
-            new = linked(*checked(done[-1]))
-            if new.isEmpty():
-                break
-            groups = kept(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)), "components")
-        links = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        done.append(found.pairs(groups, star=False))
+    if not found.count.filter(F.col("m") > MANY).isEmpty():
+        done.append(found.pairs(kept(components(links), "components")))
         if not done[-1].isEmpty():
             links = links.unionByName(linked(*checked(done[-1])))
     same = prof.filter("id is not null and n > 0").join(copies, ["d1", "d2"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
