@@ -122,10 +122,11 @@ def layout_drift(source: DataFrame, drawn: DataFrame, keys: tuple[str, ...] = ("
     return _defects(far, "layout_drift", F.col(keys[-1]), keys[0])
 
 
-def size_fidelity(source: DataFrame, drawn: DataFrame) -> DataFrame:
-    """Q12: large source text (1.3 of the page's upper median and more) drawn under 0.55 of its size."""
-    body = source.groupBy("doc_id", "page").agg(upper_median(F.col("size")).alias("body"))
-    rows = source.join(body, ["doc_id", "page"]).filter(F.col("size") >= 1.3 * F.col("body"))
+def size_fidelity(source: DataFrame, drawn: DataFrame, pages: DataFrame) -> DataFrame:
+    """Q12: large source text (1.3 of the document's body size and more) drawn under 0.55 of its size. The body size is A03 over
+    all of the document's pages (doc_id, body_size), 10 where that is missing or nothing."""
+    body = pages.groupBy("doc_id").agg(upper_median(F.coalesce("body_size", F.lit(0.0))).alias("body"))
+    rows = source.join(body, "doc_id", "left").withColumn("body", F.when(F.col("body") > 0, F.col("body")).otherwise(10.0)).filter(F.col("size") >= 1.3 * F.col("body"))
     rows = rows.join(drawn.groupBy("doc_id", "uid").agg(F.max("size").alias("drawn_size")), ["doc_id", "uid"])
     return _defects(rows.filter(F.col("drawn_size") < 0.55 * F.col("size")), "size_fidelity", F.col("uid"))
 

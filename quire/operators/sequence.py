@@ -251,9 +251,12 @@ def merge_boxes(boxes: DataFrame, keys: list[str], reach: float = 12.0) -> DataF
 
 
 def dedupe_chars(chars: DataFrame, keys: list[str], bucket: float = 3.0) -> DataFrame:
-    """Of characters drawn twice (same text, neighbouring thirds of a point) the first stays."""
+    """Of characters drawn twice (same text, neighbouring thirds of a point) the first stays, by ord where there is one, then by top and x0."""
+
+    order = [c for c in ("ord", "top", "x0", "text") if c in chars.columns]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable")
         seen: set[tuple[str, int, int]] = set()
         keep = []
         for t, x, y in zip(part["text"], (part["x0"] * bucket).round(), (part["top"] * bucket).round(), strict=True):
@@ -270,7 +273,7 @@ def dedupe_chars(chars: DataFrame, keys: list[str], bucket: float = 3.0) -> Data
 def chain_units(links: DataFrame, units: DataFrame) -> DataFrame:
     """Units that links (uid, next_uid) chain become one: each unit with its chain's first. Pointers double, so rounds grow with the log of the longest chain."""
     cur = units.select("uid").join(links.select(F.col("next_uid").alias("uid"), F.col("uid").alias("head")), "uid", "left").withColumn("head", F.coalesce("head", "uid"))
-    for _ in range(20):
+    while True:  # until no head changes, however long the chains
         step = cur.join(cur.select(F.col("uid").alias("head"), F.col("head").alias("_h")), "head").select("uid", F.col("_h").alias("head")).persist()
         same = step.join(cur.withColumnRenamed("head", "_o"), "uid").filter(F.col("head") != F.col("_o")).isEmpty()
         cur = step

@@ -96,13 +96,13 @@ def missing_chars(used: DataFrame, covered: DataFrame) -> DataFrame:
 
 
 def proportional_split(parts: DataFrame, key: str, order: str, n: str, total: Column) -> DataFrame:
-    """Cuts a text of `total` characters by the parts' share of n, half to even; the last part takes the rest."""
+    """Cuts a text of `total` characters: each part but the last gets its own share of n, half to even; the last takes the rest."""
     w = Window.partitionBy(key).orderBy(order)
-    run = F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0))
     everything = F.sum(n).over(Window.partitionBy(key))
-    end = F.when(F.lead(order).over(w).isNull(), total).otherwise(F.bround(F.try_divide(total * run, everything)).cast("bigint"))
-    rows = parts.withColumn("cut_end", end)
-    return rows.withColumn("cut_start", F.coalesce(F.lag("cut_end").over(w), F.lit(0).cast("bigint")))
+    rows = parts.withColumn("_share", F.coalesce(F.bround(F.try_divide(total * F.col(n), everything)).cast("bigint"), F.lit(0))).withColumn("_last", F.lead(order).over(w).isNull())
+    run = F.least(F.sum("_share").over(w.rowsBetween(Window.unboundedPreceding, 0)), total)
+    rows = rows.withColumn("_run", run).withColumn("cut_start", F.coalesce(F.lag("_run").over(w), F.lit(0).cast("bigint")))
+    return rows.withColumn("cut_end", F.when(F.col("_last"), total).otherwise(F.col("_run"))).drop("_share", "_last", "_run")
 
 
 def zone_rows(lines: DataFrame, key: str = "page", height: float = 6.0) -> DataFrame:
@@ -120,6 +120,33 @@ def flowing(blocks: DataFrame, pages: DataFrame, key: str = "doc_id") -> DataFra
 
 
 def first_defects(defects: DataFrame) -> DataFrame:
-    """The first defect of each role and kind."""
-    w = Window.partitionBy("role", "kind").orderBy("detail")
-    return defects.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    """Of each role and kind the defect of the least document and detail; an aggregate, so no task sees all of one kind."""
+    rest = [c for c in defects.columns if c not in ("role", "kind", "doc_id", "detail")]
+    by = defects.groupBy("role", "kind").agg(F.min(F.struct("doc_id", "detail", *rest)).alias("_m"))
+    return by.select(*[F.col(c) if c in ("role", "kind") else F.col(f"_m.{c}").alias(c) for c in defects.columns])
+
+
+def body_chars(chars: DataFrame) -> DataFrame:
+    """Characters that aren't blank, stand upright and whose rounded size is within 1 of the body's."""
+    return chars.filter((F.trim("text") != "") & F.col("upright") & (F.abs(F.bround("size") - F.col("body_size")) <= 1))
+
+
+def report_counters(pages: DataFrame, blocks: DataFrame, units: DataFrame) -> DataFrame:
+    """Pages, blocks, units and units over several blocks of each document (doc_id)."""
+    b = blocks.groupBy("doc_id").agg(F.count("*").alias("blocks"))
+    u = units.groupBy("doc_id").agg(F.count("*").alias("units"), F.count_if(F.col("n_blocks") > 1).alias("joins"))
+    none = F.lit(0).cast("bigint")
+    out = pages.groupBy("doc_id").agg(F.count("*").alias("pages")).join(b, "doc_id", "left").join(u, "doc_id", "left")
+    return out.select("doc_id", "pages", *[F.coalesce(c, none).alias(c) for c in ("blocks", "units", "joins")])
+
+
+def new_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Overlaps (page, rid_a, rid_b) that a known set lacks."""
+    return pairs.join(known, ["page", "rid_a", "rid_b"], "left_anti")
+
+
+def largest(rects: DataFrame, most: int, key: str = "page") -> DataFrame:
+    """The `most` largest boxes of each page in falling order of area; the limit is the feature. Ties go by rid."""
+    area = (F.col("x1") - F.col("x0")) * (F.col("bottom") - F.col("top"))
+    rows = rects.withColumn("area", area).withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.col("area").desc(), "rid")))
+    return rows.filter(F.col("place") <= most).select(key, "rid", "area", "place")

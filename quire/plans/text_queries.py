@@ -230,7 +230,14 @@ def protect_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("tokens").alias("n_tokens"), F.md5("masked").alias("masked_md5"), back.alias("restored"))
 
 
-@query("pack_requests")
+@query(
+    "pack_requests",
+    f"""WITH RECURSIVE {V_BLOCK_SQL}, e AS (SELECT doc_id, ord, length(text) AS n FROM v_block),
+    s AS (SELECT doc_id, ord, CAST(0 AS BIGINT) AS grp, CAST(n AS BIGINT) AS size, 1 AS items, n FROM e WHERE ord = 0
+      UNION ALL SELECT e.doc_id, e.ord, s.grp + CASE WHEN s.size + e.n > 6000 OR s.items >= 10 THEN 1 ELSE 0 END, CASE WHEN s.size + e.n > 6000 OR s.items >= 10 THEN e.n ELSE s.size + e.n END,
+        CASE WHEN s.size + e.n > 6000 OR s.items >= 10 THEN 1 ELSE s.items + 1 END, e.n FROM s JOIN e ON e.doc_id = s.doc_id AND e.ord = s.ord + 1)
+    SELECT doc_id, grp, count(*) AS n, CAST(sum(n) AS BIGINT) AS chars FROM s GROUP BY doc_id, grp""",
+)
 def pack_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's lines in requests of at most 6,000 characters and 10 lines."""
     rows = v_block(spark, sf_dir).select("doc_id", F.col("ord").cast("bigint").alias("ord"), F.length("text").alias("chars"))
@@ -282,12 +289,12 @@ def page_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "proportional_split",
-    """WITH t AS (SELECT conv_id, turn, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run, sum(length(text)) OVER (PARTITION BY conv_id) AS total, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
-    e AS (SELECT conv_id, turn, CAST(n AS BIGINT) AS n, CASE WHEN nxt IS NULL THEN 1000 ELSE CAST(round_even(1000 * run / total, 0) AS BIGINT) END AS cut_end FROM t)
-    SELECT conv_id, turn, n, CAST(cut_end AS BIGINT) AS cut_end, CAST(coalesce(lag(cut_end) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS BIGINT) AS cut_start FROM e""",
+    """WITH t AS (SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS n, CAST(round_even(1000 * length(text) / sum(length(text)) OVER (PARTITION BY conv_id), 0) AS BIGINT) AS share, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
+    e AS (SELECT *, sum(share) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM t)
+    SELECT conv_id, turn, n, CAST(CASE WHEN nxt IS NULL THEN 1000 ELSE least(1000, coalesce(before, 0) + share) END AS BIGINT) AS cut_end, CAST(least(1000, coalesce(before, 0)) AS BIGINT) AS cut_start FROM e""",
 )
 def proportional_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A target of 1,000 characters cut by the turns' share."""
+    """A target of 1,000 characters cut by the turns' own shares."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("bigint").alias("n"))
     return A.proportional_split(rows, "conv_id", "turn", "n", F.lit(1000).cast("bigint"))
 
@@ -344,12 +351,21 @@ def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.wrapped(rows).select("doc_id", F.size("lines").alias("n_lines"), F.md5(F.array_join("lines", "|")).alias("lines_md5"))
 
 
-@query("quality_units", "WITH u AS (SELECT doc_id, turn, text FROM (SELECT conv_id AS doc_id, turn, text FROM conversations WHERE turn % 2 = 0)) SELECT doc_id, 'translator' AS role, 'untranslated' AS kind, CAST(count(*) AS VARCHAR) AS detail, 'reengine' AS param FROM u WHERE turn % 4 = 0 GROUP BY doc_id")
+@query(
+    "quality_units",
+    """SELECT conv_id AS doc_id, 'translator' AS role, 'untranslated' AS kind, CAST(count(*) AS VARCHAR) AS detail, 'reengine' AS param FROM conversations WHERE turn % 4 = 0 GROUP BY conv_id
+    UNION ALL SELECT conv_id, 'translator', 'placeholder_leak', CAST(count(*) AS VARCHAR), 'reengine' FROM conversations WHERE turn % 4 = 1 GROUP BY conv_id
+    UNION ALL SELECT c.conv_id, 'editor', 'empty_output', CAST(coalesce(p.n, 0) AS VARCHAR), 'restrip' FROM (SELECT DISTINCT conv_id FROM conversations WHERE turn % 4 <> 0) c
+      LEFT JOIN (SELECT conv_id, sum(least(length(text), 40)) AS n FROM conversations WHERE turn % 4 = 3 GROUP BY conv_id) p USING (conv_id) WHERE coalesce(p.n, 0) < 50""",
+)
 def quality_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q01, Q02, Q06 over the even turns of conversations, as the SQL twin has them (odd turns are left out): every second of these lacks its target."""
-    conv = table(spark, sf_dir, "conversations").filter("turn % 2 = 0")
-    units = conv.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("uid"), F.col("text").alias("source"), F.when(F.col("turn") % 4 != 0, F.col("text")).alias("target"))
-    return Q.untranslated(units).unionByName(Q.placeholder_leak(units))
+    """Q01, Q02, Q06 over all turns of conversations. Constructed: every fourth turn lacks its target, the one behind it leaks a
+    placeholder, and only the fourth of each four is drawn."""
+    conv = table(spark, sf_dir, "conversations")
+    target = F.when(F.col("turn") % 4 == 1, F.concat(F.lit("訳⟦T1⟧"), "text")).when(F.col("turn") % 4 != 0, F.concat(F.lit("訳"), "text"))
+    units = conv.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("uid"), F.col("text").alias("source"), target.alias("target"))
+    placed = conv.filter("turn % 4 = 3").select(F.col("conv_id").alias("doc_id"), "text")
+    return Q.untranslated(units).unionByName(Q.placeholder_leak(units)).unionByName(Q.empty_output(units, placed))
 
 
 @query("text_functions")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -82,9 +83,11 @@ def upsert_latest(events: DataFrame, path: str, key: str = "id"):
         spark = df.sparkSession
         try:
             old = spark.read.parquet(f"{path}/v{epoch - 1}")
-        except Exception:  # the first batch has none before it
+        except AnalysisException as e:  # the first batch has none before it; any other fault must not forget the state
+            if e.getCondition() != "PATH_NOT_FOUND" or epoch:
+                raise
             old = df.limit(0)
-        w = Window.partitionBy(key).orderBy(F.col("created").desc())
+        w = Window.partitionBy(key).orderBy(F.col("created").desc(), *[F.col(c).desc() for c in df.columns if c not in (key, "created")])
         old.unionByName(df).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r").write.mode("overwrite").parquet(f"{path}/v{epoch}")
 
     return events.writeStream.outputMode("append").foreachBatch(batch)
