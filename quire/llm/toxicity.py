@@ -3,7 +3,8 @@
 Words are hashed to rows of an embedding table; filters over one, two and three words slide along the
 whole text, each keeps its greatest response, and a logistic unit reads those. Training is Adagrad on
 minibatches; only the places that won the pooling get a gradient. The threshold is calibrated for each
-language, guessed from the text's own hashed words, and the score is bent so that 0.5 is that threshold.
+language, shrunk toward the general one by the number of documents it rests on; the language is
+guessed from the text's own hashed words, and the score is bent so that 0.5 is that threshold.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ DIM, FILTERS, WIDTHS = 12, 12, (1, 2, 3)
 #: About so many labelled documents of each label are learned from.
 SAMPLE_PER_LABEL = 3_000
 EPOCHS, BATCH, RATE = 12, 48, 0.08
-#: A language gets its own threshold from so many validation documents of each label.
-MIN_CALIBRATION = 15
+#: A language's own threshold counts as much as the general one where it rests on so many validation documents of its rarer label.
+CALIBRATION_PRIOR = 15
 PAD = 0  # also the row of rare buckets
 
 
@@ -196,8 +197,9 @@ def fit(docs: list[np.ndarray], y: np.ndarray, lang: list[str], seed: int = 7) -
         model.thresholds[:] = whole
         for i in range(len(langs)):
             own = guess == i
-            if min(y[check][own].sum(), (1 - y[check][own]).sum()) >= MIN_CALIBRATION:
-                model.thresholds[i] = _threshold(p[own], y[check][own])
+            n = min(y[check][own].sum(), (1 - y[check][own]).sum())
+            if n:  # shrunk toward the general one, the more the less it rests on; without documents of both labels there is no own one
+                model.thresholds[i] = (n * _threshold(p[own], y[check][own]) + CALIBRATION_PRIOR * whole) / (n + CALIBRATION_PRIOR)
     return model
 
 
