@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.wordhash import mix
+
 MAX_BITS = 28
 REGIONS = 6  # log2 of the pieces
 
@@ -28,14 +30,15 @@ def contains(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((bitmap[s >> 3] >> (s & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def build(hashes: DataFrame, n: int, bits_per_key: int = 32) -> np.ndarray:
-    """The bitmap of a column of n well mixed 64-bit hashes."""
+def build(hashes: DataFrame, n: int, bits_per_key: int = 32, mixed: bool = True) -> np.ndarray:
+    """The bitmap of a column of n 64-bit hashes; those that aren't well mixed yet (mixed=False) are, in the same pass."""
     bits = int(np.clip(np.ceil(np.log2(max(1, n * bits_per_key))), 16, MAX_BITS))
     low = bits - REGIONS
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = np.unique(slots(b.column(0).to_numpy(), bits))
+            h = b.column(0).to_numpy()
+            s = np.unique(slots(h if mixed else mix(h.view(np.uint64)), bits))
             at = np.searchsorted(s >> low, np.arange((1 << REGIONS) + 1))
             some = np.flatnonzero(np.diff(at))
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([(s[at[i] : at[i + 1]] & ((1 << low) - 1)).astype(np.int32).tobytes() for i in some], pa.binary())], ["region", "part"])

@@ -14,6 +14,7 @@ windows, so work grows with the input, not with its square.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -322,26 +323,27 @@ def _search(k: int):
 
 
 def _in_bitmap(rows: DataFrame, column: str, bits: np.ndarray, wanted: bool) -> DataFrame:
-    """The rows whose column is in the bitmap, or isn't."""
-    shared, at = rows.sparkSession.sparkContext.broadcast(bits), rows.columns.index(column)
+    """The rows whose column is in the bitmap, or isn't. Rows that come from here are tested in the same pass: a second pass in
+    one stage would take a Python worker more for each task."""
+    source, tests = getattr(rows, "_quire_tests", (rows, ()))
+    tests = (*tests, (rows.columns.index(column), rows.sparkSession.sparkContext.broadcast(bits), wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(bitmap.contains(shared.value, mix(b.column(at).to_numpy().view(np.uint64))) == wanted))
+            for at, shared, there in tests:
+                b = b.filter(pa.array(bitmap.contains(shared.value, mix(b.column(at).to_numpy().view(np.uint64))) == there))
+            yield b
 
-    return rows.mapInArrow(run, rows.schema)
+    out = source.mapInArrow(run, rows.schema)
+    out._quire_tests = (source, tests)
+    return out
 
 
 def _frequent(rows: DataFrame, column: str, most: int) -> np.ndarray | None:
     """A bitmap of the column's values in more than `most` rows (and some others); None if there are none."""
     many = stored(rows.groupBy(column).count().filter(F.col("count") > most).select(column), "frequent-values")
     n = many.count()
-
-    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(mix(b.column(0).to_numpy().view(np.uint64)).view(np.int64))], ["h"])
-
-    out = bitmap.build(many.mapInArrow(mixed, "h bigint"), n, 256) if n else None
+    out = bitmap.build(many, n, 256, mixed=False) if n else None
     forget(many)
     return out
 
@@ -356,11 +358,12 @@ def search_shards(found: DataFrame, k: int) -> DataFrame:
     """
     rows = found.filter("kind = 0").select("seg", "anchor", "lo", "hi", "words")
     common = _frequent(rows, "seg", MERGE_ABOVE)
+    parts = [rows]
     if common is not None:
         merged = _in_bitmap(rows, "seg", common, True).groupBy("seg", "anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("words").alias("words"))
-        rows = _in_bitmap(rows, "seg", common, False).unionByName(merged)
-    hot = _frequent(rows, "anchor", SHARD_SEGMENTS)
-    plain = rows if hot is None else _in_bitmap(rows, "anchor", hot, False)
+        parts = [_in_bitmap(rows, "seg", common, False), merged]
+    hot = _frequent(reduce(DataFrame.unionByName, parts), "anchor", SHARD_SEGMENTS)
+    plain = reduce(DataFrame.unionByName, parts if hot is None else [_in_bitmap(x, "anchor", hot, False) for x in parts])
     shards = max(1, -(-found.filter("kind = 0").count() // SHARD_SEGMENTS))
     shape = "seg bigint, first int, mins binary"
     out = plain.withColumn("shard", F.pmod("anchor", F.lit(shards))).select("shard", "seg", "lo", "hi", "words").groupBy("shard").applyInPandas(_search(k), shape)
@@ -380,7 +383,7 @@ def search_shards(found: DataFrame, k: int) -> DataFrame:
             cols = [b.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(grams(h, k)[at].view(np.int64)), b.column(2).take(pa.array(row)), b.column(3).take(pa.array(row)), pa.array(text, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["seg", "first", "window", "lo", "hi", "words"])
 
-    every = stored(_in_bitmap(rows, "anchor", hot, True).mapInArrow(windows, "seg bigint, first int, window bigint, lo bigint, hi bigint, words binary"), "windows")
+    every = stored(reduce(DataFrame.unionByName, [_in_bitmap(x, "anchor", hot, True) for x in parts]).mapInArrow(windows, "seg bigint, first int, window bigint, lo bigint, hi bigint, words binary"), "windows")
     own = every.groupBy("window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("words").alias("words")).withColumnRenamed("window", "seg")
     shards = max(1, -(-every.count() // SHARD_SEGMENTS))
     mins = own.withColumn("shard", F.pmod("seg", F.lit(shards))).select("shard", "seg", "lo", "hi", "words").groupBy("shard").applyInPandas(_search(k), shape)
