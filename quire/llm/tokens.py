@@ -23,7 +23,7 @@ from quire.llm._shared import by_bytes, shared_dir, table
 #: The place of the tokenizer files: None asks the public_tokenizers package.
 TOKENIZER_DIR: str | None = None
 #: Words that one worker remembers; the memory is emptied when full, so it stays bounded.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 500_000
 _OTHER_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 _ASCII_SPACES = [c for c in _OTHER_SPACES if c.isascii()]
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
@@ -213,7 +213,7 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         for b in batches:
             lists = b.column(2)
             flat, cut = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            raw = np.ascontiguousarray(flat, dtype="<u4")
+            raw = flat.view("<u4")
             crc = [zlib.crc32(raw[a:e]) for a, e in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(cut), pa.int64()), pa.array(crc, pa.int64()), b.column(3), b.column(4)], ["doc_id", "n_tokens", "ids_crc32", "file", "row"])
 
