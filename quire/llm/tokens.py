@@ -23,7 +23,7 @@ from quire.llm._shared import by_bytes, shared_dir, table
 #: The place of the tokenizer files: None asks the public_tokenizers package.
 TOKENIZER_DIR: str | None = None
 #: Words that one worker remembers; the memory is emptied when full, so it stays bounded.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 _OTHER_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 _ASCII_SPACES = [c for c in _OTHER_SPACES if c.isascii()]
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
