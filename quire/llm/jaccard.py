@@ -39,6 +39,10 @@ BLOCK = 512
 MANY = 24
 #: Leading bits of a prefix token's hash that name its bucket are chosen for about so many rows in each.
 ROWS_PER_BUCKET = 1 << 18
+#: Earlier keys that a row bears, by which pairs made before are known; those known by later keys only are made again, and once each in the end.
+BEFORE = 256
+#: Rows with lists of keys that a worker turns into Python objects at a time.
+LIST_ROWS = 1024
 #: Keys that a task holds before it passes them on.
 HELD_KEYS = 1 << 18
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, 16, dtype=np.uint64)
@@ -168,7 +172,7 @@ def shared_prefix_tokens(prof: DataFrame, bounds: np.ndarray) -> np.ndarray:
             some = np.flatnonzero(np.diff(cut))
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], ["bucket", "rows"])
 
-        for b in batches:
+        for b in slices(batches, LIST_ROWS):
             raw = b.column(2).to_pylist()
             size = np.array([len(x) // 8 for x in raw], dtype=np.int64)
             tok, of = np.frombuffer(b"".join(raw), dtype=np.uint64), np.repeat(b.column(1).to_numpy().view(np.uint64), size).astype(np.uint32)
@@ -199,7 +203,7 @@ def _pairs_in_runs(num: int, den: int, star: bool):
     Two low rows don't pair: they meet in their own class.
 
     star: in runs of keys of many documents a row takes its first partner only. Otherwise the rows bear
-    components and the keys before, and a pair of two components is made at its first common key.
+    components and the keys before, and a pair of two components is made at its first common key (again only beyond BEFORE keys).
     """
 
     def close(rows: list[tuple], out_a: list[int], out_b: list[int]) -> None:
@@ -268,7 +272,7 @@ class Candidates:
         shared = self.spark.sparkContext.broadcast(shared_prefix_tokens(prof, bounds))
 
         def own_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches, LIST_ROWS):
                 keep, high, low = [], [], []
                 for raw, n in zip(b.column(5).to_pylist(), b.column(1).to_pylist(), strict=True):
                     t = np.frombuffer(raw, dtype=np.uint64)
@@ -306,16 +310,20 @@ class Candidates:
         mine = rows.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("key", "m"))).alias("m"))
         wide = self.reps.join(mine, "id")
         wide = wide.withColumn("component", F.lit(0).cast("bigint")) if groups is None else wide.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        apart = groups is not None  # a pair is then made at its first common key only
+        apart = groups is not None  # a pair is then made at its first common key, and seldom at others
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.bool_()]
         names = ["key", "bi", "bj", "many", "own", "n", "id", "bitmap", "before", "component", "low"]
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: list[list] = [[] for _ in kinds]
+
             def flush() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+                got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+                for c in out:
+                    c.clear()
+                return got
 
             for b in slices(batches):
-                out: list[list] = [[] for _ in kinds]
                 for doc, n, bits, high, low, m, comp in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                     m = dict(m)
                     bits = np.bitwise_xor.reduce(np.frombuffer(bits, dtype=np.uint64).reshape(BITS // FOLDED, -1), axis=0).tobytes()
@@ -325,15 +333,14 @@ class Candidates:
                         for at, key in enumerate(keys):
                             blocks = max(1, -(-m[key] // BLOCK))
                             own = int(mix(np.array([doc], dtype=np.int64).view(np.uint64))[0] % np.uint64(blocks)) if blocks > 1 else 0
-                            before = packed[:at].tobytes() if apart else b""
+                            before = packed[: min(at, BEFORE)].tobytes() if apart else b""
                             for other in range(blocks):
                                 for col, v in zip(out, (key, min(own, other), max(own, other), m[key] > MANY, own, n, doc, bits, before, comp, is_low), strict=True):
                                     col.append(v)
-                    if len(out[0]) >= 4096:
-                        yield flush()
-                        out = [[] for _ in kinds]
-                if out[0]:
-                    yield flush()
+                                if len(out[0]) >= 4096:
+                                    yield flush()
+            if out[0]:
+                yield flush()
 
         keyed = wide.select("id", "n", "bitmap", "high", "low", "m", "component").mapInArrow(spread, "key bigint, bi int, bj int, many boolean, own int, n bigint, id bigint, bitmap binary, before binary, component bigint, low boolean")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))

@@ -58,6 +58,7 @@ def test_blocks_of_a_hot_token(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "MANY", 3)
     monkeypatch.setattr(jaccard, "HELD_KEYS", 500)
     monkeypatch.setattr(jaccard, "FREQUENT_MAX", 1)
+    monkeypatch.setattr(jaccard, "BEFORE", 1)
     rows = near_copies(9, groups=3, size=30)
     got = jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 9, 10).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows, 3, 9, 10)
