@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.operators import blocks as B
@@ -34,9 +34,11 @@ def units_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("drifted_boxes", f"WITH {V_RECT_SQL} SELECT {_DEFECT.format('page', 'editor', 'layout_drift', 'rid', 'shrink')} FROM v_rect WHERE abs(x0 + 4 * n - x0) > 14 OR top + 12 * n - 22 - top < -8 OR top + 12 * n - 22 - top > 42")
 def drifted_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes drawn the farther off, the higher their number."""
-    source = v_rect(spark, sf_dir).select(F.col("page").alias("doc_id"), F.col("rid").alias("uid"), "x0", "top", "n")
-    return Q.layout_drift(source, source.withColumn("x0", F.col("x0") + 4 * F.col("n")).withColumn("top", F.col("top") + 12 * F.col("n") - 22))
+    """Boxes drawn the farther off, the higher their number. Lines that share all four numbers are boxes of their own."""
+    copy = F.row_number().over(Window.partitionBy("page", "rid").orderBy("x0", "top"))
+    source = v_rect(spark, sf_dir).select(F.col("page").alias("doc_id"), F.col("rid").alias("uid"), copy.alias("copy"), "x0", "top", "n")
+    drawn = source.withColumn("x0", F.col("x0") + 4 * F.col("n")).withColumn("top", F.col("top") + 12 * F.col("n") - 22)
+    return Q.layout_drift(source, drawn, ("doc_id", "copy", "uid"))
 
 
 @query(

@@ -42,5 +42,17 @@ def test_query_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+@pytest.mark.parametrize("name", ["drifted_boxes", "reviewed"])
+def test_lines_of_the_same_numbers_are_boxes_of_their_own(spark, tmp_path, name):
+    lines = [(1, 2, 3, n, q, 0.0, tax, "N") for n, q, tax in ((0, 43.0, 0.05), (0, 19.0, 0.05), (0, 19.0, 0.05), (2, 1.0, 0.0), (2, 1.0, 0.08), (9, 5.0, 0.01))]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 5e5), (2, 5.0)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    mine, theirs = plain(QUERIES[name](spark, str(tmp_path)).toPandas()), plain(con.execute(ORACLES[name]).df())
+    assert len(theirs) > 0 and mine.equals(theirs[list(mine.columns)])
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 4
