@@ -52,6 +52,9 @@ def build(hashes: DataFrame, n: int, bits_per_key: int = 32, mixed: bool = True)
     out = np.zeros(1 << (bits - 3), dtype=np.uint8)
     width = 1 << (low - 3)
     named = hashes.toDF("h").filter(F.col("h").isNotNull())
-    for row in named.mapInArrow(cut, "region int, part binary").groupBy("region").applyInPandas(draw, "region int, part binary").toLocalIterator():
-        out[row.region * width : (row.region + 1) * width] = np.frombuffer(row.part, dtype=np.uint8)
+    # one job: a local iterator would run one for each shuffle partition, though at most 2**REGIONS of them hold a row
+    got = named.mapInArrow(cut, "region int, part binary").groupBy("region").applyInPandas(draw, "region int, part binary").toArrow()
+    for b in got.to_batches():
+        for region, part in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            out[region * width : (region + 1) * width] = np.frombuffer(part.as_buffer(), dtype=np.uint8)
     return out

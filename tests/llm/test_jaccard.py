@@ -3,7 +3,10 @@ import re
 
 import pytest
 
-from quire.llm import jaccard
+import numpy as np
+from pyspark.sql import functions as F
+
+from quire.llm import bitmap, graph, jaccard
 from quire.llm.graph import components
 from quire.llm.jaccard import jaccard_components
 
@@ -100,3 +103,53 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
     assert all(got[i] == 0 for i in range(41)) and all(got[k] == 100 for k in range(100, 130))
+
+
+def joined(edges):
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("one_task", [0, 1 << 21])
+@pytest.mark.parametrize("forest", [5, 1 << 20])
+def test_components_of_forests(spark, monkeypatch, one_task, forest):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+    monkeypatch.setattr(graph, "FOREST_EDGES", forest)
+    rng = random.Random(one_task + forest)
+    edges = [(a, b) for a, b in ((rng.randint(-60, 60), rng.randint(-60, 60)) for _ in range(80)) if a != b] + [(i + 1, i) for i in range(200, 260)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(6)).collect()))
+    assert got == joined(edges)
+
+
+def test_components_need_no_round_for_each_step_of_a_chain(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(graph, "stored", lambda *a, f=graph.stored: kept.append(a[1]) or f(*a))
+    assert components(spark.range(1, 400).selectExpr("id as a", "id - 1 as b")).filter("component = 0").count() == 400
+    assert len(kept) == 1
+
+
+def test_a_bitmap_takes_one_job_whatever_the_partitions(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = spark.range(0, 3000, numPartitions=2).select(F.xxhash64("id").alias("h"))
+    want = rows.toPandas()["h"].to_numpy()
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.sparkContext.setJobGroup("bitmap", "bitmap")
+        got = bitmap.build(rows, 3000)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("bitmap")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert bitmap.contains(got, want).all() and int(np.bitwise_count(got).sum()) == len(set(bitmap.slots(want, 17).tolist()))
+    assert len(jobs) <= 3
