@@ -12,6 +12,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,9 @@ from quire.llm._shared import by_bytes, shared_dir, table
 TOKENIZER_DIR: str | None = None
 #: Words that one worker remembers; the memory is emptied when full, so it stays bounded.
 CACHE_WORDS = 1_000_000
+#: Marks that may stand in a run behind letters, and such runs that one worker remembers.
+_MARKS, TAILS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", 4_096
+_ID = attrgetter("id")
 _OTHER_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 _ASCII_SPACES = [c for c in _OTHER_SPACES if c.isascii()]
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
@@ -58,8 +62,8 @@ class CachedTokenizer:
     Both kinds of files cut a text before each single space between other characters, so the ids of
     such a text are those of its words one after another; a single line feed is kept in front of its
     word. Texts with other white space beside either, or with the literal of an added token such as
-    "<|endoftext|>", go to the tokenizer whole. A word of letters,
-    alone or before one ASCII mark, is one piece for the merge table and goes straight to it.
+    "<|endoftext|>", go to the tokenizer whole. A word of letters is one piece for the merge table and goes
+    straight to it; a run of ASCII marks behind it is another, whose ids are remembered by themselves.
     """
 
     def __init__(self, path: str):
@@ -74,7 +78,7 @@ class CachedTokenizer:
         # byte-level pieces write byte b as one character: itself if printable, else 256 and on
         odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
         self.byte_chars = {b: 256 + i for i, b in enumerate(odd)}
-        self.marks = {c: self._pack(self._ids("a" + c)[len(self._ids("a")) :]) for c in ".,;:!?)"}
+        self.tails: dict[str, bytes] = {}  # the ids of marks behind letters
         self.lead = chr(self.byte_chars[32]) if self.spaced else ""
         self.feed = self._pack(self._ids("\n")) if self.spaced else b""
         self.most = CACHE_WORDS
@@ -99,17 +103,33 @@ class CachedTokenizer:
             w = w.encode().decode("latin-1").translate(self.byte_chars)
         elif not self.spaced:
             w = w.lower()
-        return array("I", [t.id for t in self.model.tokenize(lead + w)]).tobytes()
+        return array("I", list(map(_ID, self.model.tokenize(lead + w)))).tobytes()
+
+    def _stays(self, w: str) -> bool:
+        """Whether w is of letters in which a normalizer leaves nothing that could join the marks behind."""
+        return w.isalpha() and (w.isascii() or max(w) < "\u0250" and (self.spaced or unicodedata.normalize("NFC", w).lower().isalpha()))
+
+    def _tail(self, marks: str) -> bytes:
+        """The ids of a run of marks behind letters, which is a piece of its own."""
+        if not marks:
+            return b""
+        got = self.tails.get(marks)
+        if got is None:
+            got = self._pack(self._ids("a" + marks)[len(self._ids("a")) :])
+            if len(self.tails) < TAILS:
+                self.tails[marks] = got
+        return got
 
     def learn(self, w: str) -> bytes:
         """The ids of a word behind a space (or with its own line feed in front)."""
         if w.isalpha():
             return self._letters(w, self.lead)
-        core = w[:-1]
-        if w[-1:] in self.marks and core.isalpha():
-            return self.memo[core] + self.marks[w[-1]]
-        if w[:1] == "\n" and w[1:].isalpha():
-            return self.feed + self._letters(w[1:], "")
+        core = w.rstrip(_MARKS)
+        if core[:1] != "\n":
+            if self._stays(core):
+                return (self.memo.get(core) or self._letters(core, self.lead)) + self._tail(w[len(core) :])
+        elif self._stays(core[1:]) or core == w and core[1:].isalpha():
+            return self.feed + self._letters(core[1:], "") + self._tail(w[len(core) :])
         return self._pack(self._ids(" " + w if self.spaced and w[:1] != "\n" else w))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
@@ -178,7 +198,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     ids = tokenize(ordered.sortWithinPartitions("doc_id", "h", "text"), tokenizer, end_id)
     out = ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
     writer = out.write.option("parquet.enable.dictionary", "true").option("parquet.block.size", str(ROW_GROUP_BYTES)).option("maxRecordsPerFile", 0)
-    writer.option("parquet.page.size", str(PAGE_BYTES)).option("parquet.page.row.count.limit", str(PAGE_ROWS)).option("parquet.dictionary.page.size", str(1 << 20)).option("compression", "zstd").parquet(path)
+    writer.option("parquet.page.size", str(PAGE_BYTES)).option("parquet.page.row.count.limit", str(PAGE_ROWS)).option("parquet.dictionary.page.size", str(1 << 20)).option("compression", "snappy").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -34,6 +34,14 @@ def test_cached_ids_equal_a_fresh_tokenizer(text):
             assert t.encode_all([x]) == [np.array(FRESH[f].encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()]
 
 
+def test_marks_behind_letters():
+    """A normalizer can leave a combining mark that joins the marks behind it ("İ" lower-cased)."""
+    words = ["a", "été", "İ", "ß", "ǅ", "日本", "ÀÉ", "don't", "e\u0301"]
+    for f, t in TOKS.items():
+        for text in (f"x {w}{tail} y\n{w}{tail} {w}" for w in words for tail in ("", ".", ",", "$$$", ".&&&", "]!", "'", "'.", "-")):
+            assert t.encode_all([text]) == [np.array(FRESH[f].encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()]
+
+
 def test_literals_of_added_tokens_are_their_ids():
     assert 50256 in np.frombuffer(TOKS["byte_bpe_50k.json"].encode_all(["a<|endoftext|>b c"])[0], "<u4")
     assert 49407 in np.frombuffer(TOKS["word_bpe_49k.json"].encode_all(["a<|endoftext|>b c"])[0], "<u4")
