@@ -48,11 +48,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
-def stored(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there, so a lost executor repeats nothing before it."""
+def stored(df: DataFrame, tag: str, compression: str | None = None, **options: str) -> DataFrame:
+    """Write df to the shared folder, with the writer's options, and read it back: the lineage ends there, so a lost executor repeats nothing before it."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(at, compression=compression)
+    df.write.options(**options).parquet(at, compression=compression)
     out = spark.read.schema(df.schema).parquet(at)
     out._quire_at = at
     return out

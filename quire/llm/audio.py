@@ -2,11 +2,14 @@
 
 mu-law and A-law samples expand by 256-entry tables; ADPCM blocks of one size decode side by side,
 one numpy step for each sample place over all blocks; PCM is resampled by a low-pass filter with a phase for
-each place between samples. A payload is stored losslessly as the 8-bit mu-law samples of a WAV file, beside its PCM.
+each place between samples. A payload is stored losslessly as the 8-bit mu-law samples of a WAV file, beside its PCM;
+many of them share a block, in which media, high bytes and low bytes of the PCM are compressed apart, and copies of a
+text share what is stored.
 """
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import struct
 import zlib
@@ -15,16 +18,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quire.llm._shared import by_bytes, slices, stored, table
+from quire.llm import bitmap
+from quire.llm._shared import by_bytes, forget, slices, stored, table
 
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 17
 RATE = 8000
 UNIT = 64
 #: The rate of the PCM that the query stores, and the lobes on each side of the resampling filter.
 STORED_RATE, LOBES = 4000, 6
+#: Bytes of media and PCM in a block, and of the media that are read from one at a time.
+BLOCK_BYTES, PIECE_BYTES = 32 << 20, 1 << 20
 
 
 def _mulaw_table() -> np.ndarray:
@@ -175,20 +183,21 @@ def decode(media: bytes) -> tuple[np.ndarray, int]:
     return samples(form, rate, align, data), rate
 
 
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text, ..) as (id, n_bytes, media, ..)."""
+    for b in slices(batches):
+        data = [(t or "").encode() for t in b.column(1).to_pylist()]
+        media = [wav(x + bytes(max(UNIT, -(-len(x) // UNIT) * UNIT) - len(x)), MULAW) for x in data]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, data), pa.int64()), pa.array(media, pa.binary()), *b.columns[2:]], ["id", "n_bytes", "media", *b.schema.names[2:]])
+
+
 def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, media: each text's UTF-8 bytes, padded with 0 to a positive multiple of 64, as a mu-law WAV.
 
     Null and empty texts give 64 zero bytes. Equal texts give equal media. Only the two columns are read.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            data = [(t or "").encode() for t in b.column(1).to_pylist()]
-            media = [wav(x + bytes(max(UNIT, -(-len(x) // UNIT) * UNIT) - len(x)), MULAW) for x in data]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, data), pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
-
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(_encoded, f"id {kind}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)
 
 
 def decode_all(media: list[bytes], rate: int) -> tuple[list[bytes], list[bytes]]:
@@ -207,21 +216,129 @@ def decode_all(media: list[bytes], rate: int) -> tuple[list[bytes], list[bytes]]
     return [x[3] for x in raw], out
 
 
+def _with_pcm(batches: Iterator[pa.RecordBatch], column: str, rate: int) -> Iterator[pa.RecordBatch]:
+    """The rows with pcm_rate and pcm behind their columns."""
+    for b in by_bytes(batches, column, 1 << 19):
+        values = b.column(b.schema.get_field_index(column)).to_pylist()
+        some = [i for i, m in enumerate(values) if m is not None]
+        out: list[bytes | None] = [None] * len(values)
+        if some:
+            for i, x in zip(some, decode_all([values[i] for i in some], rate)[1], strict=True):
+                out[i] = x
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([rate] * b.num_rows, pa.int32()), pa.array(out, pa.binary())], [*b.schema.names, "pcm_rate", "pcm"])
+
+
 def pcm_column(media: DataFrame, rate: int = 16000, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """The rows with pcm_rate and pcm behind their columns: each media value decoded, resampled and as little-endian 16-bit PCM; a null value stays null."""
-    at = media.columns.index(media_col)
+    return media.mapInArrow(lambda batches: _with_pcm(batches, media_col, rate), StructType(list(media.schema.fields)).add("pcm_rate", "integer").add("pcm", "binary"))
+
+
+def _alike(media: list[bytes]) -> np.ndarray:
+    """An order that brings media of like bytes together: along the axis on which shares of the bytes' last five bits differ most."""
+    count = np.array([np.bincount(np.frombuffer(m, dtype=np.uint8) & 31, minlength=32) for m in media], dtype=np.float64)
+    share = np.sqrt(count / np.maximum(1, count.sum(axis=1, keepdims=True)))
+    share -= share.mean(axis=0)
+    return np.argsort(share @ np.linalg.eigh(share.T @ share)[1][:, -1], kind="stable")
+
+
+def _block(rows: list[pa.RecordBatch], copied: bool) -> pa.RecordBatch:
+    """One row that holds all the rows, those with like media side by side. The PCM's high bytes follow the words' lengths and
+    compress well, its low ones only where a passage comes again; so they lie apart, the latter with the codec of the longer window."""
+    t = pa.Table.from_batches(rows)
+    t = t.take(pa.array(_alike(t.column("media").to_pylist()))).combine_chunks()
+    sizes = [pc.binary_length(t.column(c)).cast(pa.int64()) for c in ("media", "pcm")]
+    pcm = np.frombuffer(b"".join(t.column("pcm").to_pylist()), dtype=np.uint8)
+    lists = [x.combine_chunks() for x in (t.column("id"), t.column("n_bytes"), t.column("key"), *sizes, t.column("pcm_rate"))]
+    blobs = [bz2.compress(b"".join(t.column("media").to_pylist())), bz2.compress(pcm[1::2].tobytes()), pa.Codec("zstd", 9).compress(pcm[::2].tobytes(), asbytes=True)]
+    cols = [pa.array([copied]), *[pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists], *[pa.array([x], pa.binary()) for x in blobs]]
+    return pa.RecordBatch.from_arrays(cols, ["copied", "id", "n_bytes", "key", "media_size", "pcm_size", "pcm_rate", "media", "pcm_high", "pcm_low"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows (id, n_bytes, media, key, pcm_rate, pcm) in blocks; those with a key, which stand for copies, have blocks of their own."""
+    held: dict[bool, list[pa.RecordBatch]] = {False: [], True: []}
+    size = {False: 0, True: 0}
+    for b in batches:
+        for copied in held:
+            part = b.filter(pc.is_valid(b.column(3)) if copied else pc.is_null(b.column(3)))
+            if part.num_rows:
+                held[copied].append(part)
+                size[copied] += part.nbytes
+            if size[copied] >= limit:
+                yield _block(held[copied], copied)
+                held[copied], size[copied] = [], 0
+    for copied, rows in held.items():
+        if rows:
+            yield _block(rows, copied)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the blocks, byte for byte what _packed was given."""
+    for b in batches:
+        for i in range(b.num_rows):
+            ids, n_bytes, keys, media_size, pcm_size, rates = (b.column(c)[i].values for c in ("id", "n_bytes", "key", "media_size", "pcm_size", "pcm_rate"))
+            ends, pcm_ends = (np.concatenate([[0], np.cumsum(x.to_numpy())]) for x in (media_size, pcm_size))
+            media = bz2.decompress(b.column("media")[i].as_py())
+            both = np.empty(int(pcm_ends[-1]), dtype=np.uint8)
+            both[1::2] = np.frombuffer(bz2.decompress(b.column("pcm_high")[i].as_py()), dtype=np.uint8)
+            both[::2] = np.frombuffer(pa.Codec("zstd").decompress(b.column("pcm_low")[i].as_py(), len(both) // 2, asbytes=True), dtype=np.uint8)
+            pcm, at = both.tobytes(), 0
+            while at < len(ids):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1)
+                cut = [pa.array([x[e[k] : e[k + 1]] for k in range(at, to)], pa.binary()) for x, e in ((media, ends), (pcm, pcm_ends))]
+                yield pa.RecordBatch.from_arrays([*[x.slice(at, to - at) for x in (ids, n_bytes)], cut[0], keys.slice(at, to - at), rates.slice(at, to - at), cut[1]], ["id", "n_bytes", "media", "key", "pcm_rate", "pcm"])
+                at = to
+
+
+def store_media(docs: DataFrame, rate: int = STORED_RATE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """Every text as mu-law media and its signal at the rate as PCM, in blocks in the shared folder. Copies of a text share what is stored.
+
+    The blocks (of rows id, n_bytes, media, key, pcm_rate, pcm: see read_media) and, where texts may repeat, a table (id, key) of
+    the rows that are stored under a key: their text's sha256, first half. A text without a copy is stored with its id
+    and a null key. Texts don't travel: bitmaps tell which may have copies and which row of them is written, that with
+    the least id; too full a bitmap only stores more rows than need be. Null and empty texts are copies.
+    """
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = F.coalesce(docs[text_col], F.lit(""))
+    keyed = docs.select(docs[id_col].alias("id"), text.alias("text"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("key"))
+    repeated = stored(keyed.groupBy(F.xxhash64("text").alias("h")).agg(F.count("*").alias("n")).filter("n > 1").select("h"), "repeated-texts")
+    n, members, first = repeated.count(), None, None
+    shared = spark.sparkContext.broadcast(bitmap.build(repeated, n)) if n else None
+    forget(repeated)
+    if n:
+
+        def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(bitmap.contains(shared.value, b.column(2).to_numpy()))).select([0, 1])
+
+        members = stored(keyed.select("id", "key", F.xxhash64("text").alias("h")).mapInArrow(among, f"id {kind}, key binary"), "copies")
+        heads = members.groupBy("key").agg(F.min("id").alias("id")).select(F.xxhash64("key", "id"))
+        first = spark.sparkContext.broadcast(bitmap.build(heads, members.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, media_col, 1 << 19):
-            values = b.column(at).to_pylist()
-            some = [i for i, m in enumerate(values) if m is not None]
-            out: list[bytes | None] = [None] * len(values)
-            if some:
-                for i, x in zip(some, decode_all([values[i] for i in some], rate)[1], strict=True):
-                    out[i] = x
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([rate] * b.num_rows, pa.int32()), pa.array(out, pa.binary())], [*b.schema.names, "pcm_rate", "pcm"])
+        def wanted() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not n:
+                    yield b.set_column(2, "key", pa.nulls(b.num_rows, pa.binary())).select([0, 1, 2])
+                    continue
+                copied = bitmap.contains(shared.value, b.column(3).to_numpy())
+                key = pc.if_else(pa.array(copied), b.column(2), pa.scalar(None, b.schema.field(2).type))
+                yield b.set_column(2, "key", key).select([0, 1, 2]).filter(pa.array(~copied | bitmap.contains(first.value, b.column(4).to_numpy())))
+
+        yield from _packed(_with_pcm(_encoded(wanted()), "media", rate))
 
-    return media.mapInArrow(run, StructType(list(media.schema.fields)).add("pcm_rate", "integer").add("pcm", "binary"))
+    rows = keyed.select("id", "text", "key", F.xxhash64("text").alias("h"), F.xxhash64("key", "id").alias("own"))
+    shape = f"copied boolean, id array<{kind}>, n_bytes array<bigint>, key array<binary>, media_size array<bigint>, pcm_size array<bigint>, pcm_rate array<int>, media binary, pcm_high binary, pcm_low binary"
+    # rows are large: the writer must look at its sizes after each
+    sizes = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
+    return stored(rows.mapInArrow(run, shape), "telephony", "zstd", **sizes), members
+
+
+def read_media(blocks: DataFrame) -> DataFrame:
+    """The rows id, n_bytes, media, key, pcm_rate, pcm of stored blocks; not for each row of the input, but for each text that was stored."""
+    kind = blocks.schema["id"].dataType.elementType.simpleString()
+    return blocks.mapInArrow(_unpacked, f"id {kind}, n_bytes bigint, media binary, key binary, pcm_rate int, pcm binary")
 
 
 def features(payloads: list[bytes]) -> list[str]:
@@ -249,18 +366,24 @@ def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's digest: every text is written as mu-law media, with its signal resampled to STORED_RATE as PCM beside it,
     to Parquet in the shared folder; both are read back from there, and the feature's last part is the stored PCM's checksum.
 
-    Null and empty texts are 64 zero bytes; repeated rows give repeated results; an empty table gives an empty one.
+    Copies of a text share the media they are read from. Null and empty texts are 64 zero bytes; repeated rows give repeated
+    results; an empty table gives an empty one.
     """
-    media = stored(pcm_column(encode_media(table(spark, sf_dir, "documents")), STORED_RATE), "telephony", "zstd")
+    blocks, members = store_media(table(spark, sf_dir, "documents"))
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        for b in by_bytes(batches, "media", 1 << 20):
-            media, pcm = b.column(2).to_pylist(), b.column(4).to_pylist()
+        for b in _unpacked(batches):
+            media, pcm = b.column(2).to_pylist(), b.column(5).to_pylist()
             payloads = [read_wav(m)[3] for m in media]
             rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), f"{f}|pcm:{len(x) // 2}:{zlib.crc32(x)}") for p, m, f, x in zip(payloads, media, features(payloads), pcm, strict=True)]
             cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names)
-
-    return media.mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(1), *cols], ["doc_id", "key", *names])
+
+    shape = "doc_id bigint, key binary, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    alone = blocks.filter("not copied").mapInArrow(run, shape).select("doc_id", *names)
+    if members is None:
+        return alone
+    shared = blocks.filter("copied").mapInArrow(run, shape).drop("doc_id").dropDuplicates(["key"])
+    return alone.unionByName(members.withColumnRenamed("id", "doc_id").join(shared, "key").select("doc_id", *names))

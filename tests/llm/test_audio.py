@@ -1,10 +1,15 @@
 import hashlib
 import math
+import os
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quire.llm import audio, bitmap
+from quire.llm._shared import shared_dir
 from quire.llm.audio import ALAW, ALAW_TABLE, IMA, IMA_INDEX, IMA_STEPS, LOBES, MULAW, MULAW_TABLE, PCM, STORED_RATE, decode, decode_ima, encode_media, op9_telephony, pcm_column, read_wav, resample, resample_all, wav
 
 
@@ -114,3 +119,42 @@ def test_query(spark, odd, none, clashing, write, tmp_path):
     both = pcm_column(encode_media(odd).withColumn("media", F.when(F.col("doc_id") != 1, F.col("media"))).withColumn("rate", F.lit("clash"))).collect()
     assert all((r.pcm is None) == (r.media is None) and r.pcm_rate == 16000 and r.rate == "clash" for r in both)
     assert all(len(r.pcm) == 4 * len(read_wav(r.media)[3]) for r in both if r.media is not None)
+
+
+def test_what_is_stored_is_no_larger_than_it_must_be(spark):
+    at, sf = Path(shared_dir(spark).removeprefix("file:")), "/root/testdata/sf0.01"
+    before = set(at.glob("telephony-*"))
+    op9_telephony(spark, sf)
+    size = sum(f.stat().st_size for d in set(at.glob("telephony-*")) - before for f in d.glob("*.parquet"))
+    assert 0 < size < 1.7 * os.path.getsize(f"{sf}/documents.parquet")  # small tables compress worse; 2.1 with plain PCM
+
+
+def test_blocks_come_back_byte_for_byte():
+    rng = np.random.default_rng(5)
+    media = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (1, 64, 500, 70, 64, 3000)]
+    pcm = [rng.integers(0, 256, 2 * n, dtype=np.uint8).tobytes() for n in (0, 3, 200, 35, 0, 1500)]
+    cols = [pa.array([3, None, 1, 1, 9, 4], pa.int64()), pa.array(range(6), pa.int64()), pa.array(media, pa.binary()), pa.array([None, b"k", None, b"l", None, None], pa.binary()), pa.array([4000] * 6, pa.int32()), pa.array(pcm, pa.binary())]
+    rows = pa.RecordBatch.from_arrays(cols, ["id", "n_bytes", "media", "key", "pcm_rate", "pcm"])
+    for limit in (1, 1200, 1 << 20):
+        blocks = list(audio._packed(iter([rows.slice(0, 2), rows.slice(2)]), limit))
+        got = pa.Table.from_batches(audio._unpacked(iter(blocks), min(limit, 100)))
+        assert got.sort_by("n_bytes").to_pylist() == rows.to_pylist()
+        assert all((k is not None) == b.column("copied")[0].as_py() for b in blocks for k in b.column("key")[0].as_py())
+
+
+def test_copies_share_what_is_stored(odd):
+    blocks, members = audio.store_media(odd)
+    got = audio.read_media(blocks).collect()
+    want = {r.media: r for r in pcm_column(encode_media(odd), STORED_RATE).collect()}
+    assert sorted(r.media for r in got) == sorted(want)
+    assert all((r.n_bytes, r.pcm_rate, r.pcm) == (want[r.media].n_bytes, STORED_RATE, want[r.media].pcm) for r in got)
+    assert sorted(r.id for r in members.collect()) == [1, 2, 3, 5, 5] and sorted(r.id for r in got if r.key) == [1, 2]
+    blocks, members = audio.store_media(odd.filter("doc_id > 5"))
+    assert members is None and audio.read_media(blocks).count() == 7
+
+
+def test_full_bitmaps_change_no_result(spark, odd, write, monkeypatch):
+    at = write(documents=odd)
+    want = sorted(op9_telephony(spark, at).collect(), key=str)
+    monkeypatch.setattr(bitmap, "build", lambda hashes, n: np.full(1 << 13, 255, dtype=np.uint8))
+    assert sorted(op9_telephony(spark, at).collect(), key=str) == want
