@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm._shared import by_bytes, shared_dir, table
+from quire.llm._shared import by_bytes, shared_dir, slices, table
 
 #: The place of the tokenizer files: None asks the public_tokenizers package.
 TOKENIZER_DIR: str | None = None
@@ -31,7 +31,7 @@ CACHE_WORDS = 1_000_000
 _MARKS, TAILS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", 4_096
 _ID = attrgetter("id")
 #: Bytes of text whose words are told apart together, and words that are learned in one call.
-COLUMN_BYTES, BULK_WORDS = 4 << 20, 3_000
+COLUMN_BYTES, BULK_WORDS = 2 << 20, 3_000
 _OTHER_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 _ASCII_SPACES = [c for c in _OTHER_SPACES if c.isascii()]
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
@@ -289,7 +289,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = loaded(path)
         for b in by_bytes(batches, "text", COLUMN_BYTES):
-            yield pa.RecordBatch.from_arrays([b.column(0), tok.encode_column(b.column(1), end_id)], ["id", "ids"])
+            yield from slices([pa.RecordBatch.from_arrays([b.column(0), tok.encode_column(b.column(1), end_id)], ["id", "ids"])])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
