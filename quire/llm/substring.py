@@ -13,7 +13,7 @@ windows, so work grows with the input, not with its square.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -327,16 +327,23 @@ def _in_bitmap(rows: DataFrame, column: str, bits: np.ndarray, wanted: bool) ->
     one stage would take a Python worker more for each task."""
     source, tests = getattr(rows, "_quire_tests", (rows, ()))
     tests = (*tests, (rows.columns.index(column), rows.sparkSession.sparkContext.broadcast(bits), wanted))
+    out = source.mapInArrow(lambda batches: _passing(batches, tests), rows.schema)
+    out._quire_tests = (source, tests)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at, shared, there in tests:
-                b = b.filter(pa.array(bitmap.contains(shared.value, mix(b.column(at).to_numpy().view(np.uint64))) == there))
+
+def _passing(batches: Iterator[pa.RecordBatch], tests: tuple) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at, shared, there in tests:
+            b = b.filter(pa.array(bitmap.contains(shared.value, mix(b.column(at).to_numpy().view(np.uint64))) == there))
+        if b.num_rows:
             yield b
 
-    out = source.mapInArrow(run, rows.schema)
-    out._quire_tests = (source, tests)
-    return out
+
+def _mapped(rows: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], shape: str) -> DataFrame:
+    """rows.mapInArrow(f, shape); tests that rows come from run in the same pass."""
+    source, tests = getattr(rows, "_quire_tests", (rows, ()))
+    return source.mapInArrow(lambda batches: f(_passing(batches, tests)), shape)
 
 
 def _frequent(rows: DataFrame, column: str, most: int) -> np.ndarray | None:
@@ -383,7 +390,8 @@ def search_shards(found: DataFrame, k: int) -> DataFrame:
             cols = [b.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(grams(h, k)[at].view(np.int64)), b.column(2).take(pa.array(row)), b.column(3).take(pa.array(row)), pa.array(text, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["seg", "first", "window", "lo", "hi", "words"])
 
-    every = stored(reduce(DataFrame.unionByName, [_in_bitmap(x, "anchor", hot, True) for x in parts]).mapInArrow(windows, "seg bigint, first int, window bigint, lo bigint, hi bigint, words binary"), "windows")
+    wide = "seg bigint, first int, window bigint, lo bigint, hi bigint, words binary"
+    every = stored(reduce(DataFrame.unionByName, [_mapped(_in_bitmap(x, "anchor", hot, True), windows, wide) for x in parts]), "windows")
     own = every.groupBy("window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("words").alias("words")).withColumnRenamed("window", "seg")
     shards = max(1, -(-every.count() // SHARD_SEGMENTS))
     mins = own.withColumn("shard", F.pmod("seg", F.lit(shards))).select("shard", "seg", "lo", "hi", "words").groupBy("shard").applyInPandas(_search(k), shape)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -134,6 +135,47 @@ def spy(f, seen):
     return run
 
 
+def most_python_nodes(plan):
+    """Of a physical plan, the most Python nodes on a way without an exchange: each is a worker for each task."""
+    most = 0
+
+    def walk(node):
+        nonlocal most
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.initialPlan())
+        below = max([0, *(walk(node.children().apply(i)) for i in range(node.children().size()))])
+        here = 0 if "Exchange" in name else below + bool(re.search("Python|Pandas|Arrow", name))
+        most = max(most, here)
+        return here
+
+    walk(plan)
+    return most
+
+
+def test_a_task_takes_one_worker(spark, monkeypatch):
+    """Where segments are merged and anchors dealt by window, too: no stage has two Python nodes."""
+    monkeypatch.setattr(substring, "SHARD_SEGMENTS", 2)
+    monkeypatch.setattr(substring, "MERGE_ABOVE", 1)
+    workers = {}
+    stored = substring.stored
+
+    def seen(df, tag):
+        workers[tag] = most_python_nodes(df._jdf.queryExecution().executedPlan())
+        return stored(df, tag)
+
+    monkeypatch.setattr(substring, "stored", seen)
+    rows = passages(2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # joins as of large tables
+    try:
+        out = dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8))
+        workers["out"] = most_python_nodes(out._jdf.queryExecution().executedPlan())
+        assert plain(out.collect()) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "windows" in workers and set(workers.values()) <= {0, 1} and workers["out"] == 1
+
+
 def test_odd_rows(spark, odd, none, clashing, write):
     want = brute([(r.doc_id, r.text) for r in odd.collect()])
     assert plain(dedup_substrings(odd).collect()) == want
