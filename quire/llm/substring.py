@@ -482,7 +482,8 @@ def dedup_substrings(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", t
 
     schema = "id bigint, n_words bigint, n_removed bigint, kept binary, spans array<struct<start: bigint, end: bigint>>"
     rows = rows.withColumn("text", F.col("text").cast("binary"))
-    wide = rows.mapInArrow(some, rows.schema).join(covers, ["id", "key"], "left").select("id", "text", "starts", F.coalesce("whole", F.lit(False)).alias("whole"))
+    # a broadcast would put both passes into one stage
+    wide = rows.mapInArrow(some, rows.schema).join(covers.hint("merge"), ["id", "key"], "left").select("id", "text", "starts", F.coalesce("whole", F.lit(False)).alias("whole"))
     out = rows.mapInArrow(untouched, schema).unionByName(wide.mapInArrow(cut_out, schema))
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"), "spans")
 

@@ -176,6 +176,14 @@ def test_a_task_takes_one_worker(spark, monkeypatch):
     assert "windows" in workers and set(workers.values()) <= {0, 1} and workers["out"] == 1
 
 
+def test_the_last_join_has_an_exchange(spark):
+    """However few rows lose words, the pass before the join and the one after it are in stages of their own."""
+    rows = passages(3)
+    out = dedup_substrings(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert most_python_nodes(out._jdf.queryExecution().executedPlan()) == 1
+    assert plain(out.collect()) == brute(rows)
+
+
 def test_odd_rows(spark, odd, none, clashing, write):
     want = brute([(r.doc_id, r.text) for r in odd.collect()])
     assert plain(dedup_substrings(odd).collect()) == want
